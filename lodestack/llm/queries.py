@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from lodestack.llm.mixing import OP6_SQL, op6_mixing
+from lodestack.llm.sharding import OP5_SQL, op5_sharding
 from lodestack.llm.simhash import op4_simhash
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op5_sharding": op5_sharding,
+    "op6_mixing": op6_mixing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op6_mixing": OP6_SQL}
