@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestack.llm.mixing import OP6_SQL, op6_mixing
+from lodestack.llm.quality import op8_quality
 from lodestack.llm.sharding import OP5_SQL, op5_sharding
 from lodestack.llm.simhash import op4_simhash
 from lodestack.llm.warc import OP1_SQL, op1_warc
@@ -12,5 +13,10 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op8_quality": op8_quality,
+}
+SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+    "op5_sharding": OP5_SQL,
+    "op6_mixing": OP6_SQL,
 }
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op5_sharding": OP5_SQL, "op6_mixing": OP6_SQL}
