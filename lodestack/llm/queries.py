@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestack.llm.jpeg import op10_jpeg
 from lodestack.llm.mixing import OP6_SQL, op6_mixing
 from lodestack.llm.quality import op8_quality
 from lodestack.llm.sharding import OP5_SQL, op5_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op8_quality": op8_quality,
+    "op10_jpeg": op10_jpeg,
 }
 SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
