@@ -7,6 +7,7 @@ from lodestack.llm.mixing import OP6_SQL, op6_mixing
 from lodestack.llm.quality import op8_quality
 from lodestack.llm.sharding import OP5_SQL, op5_sharding
 from lodestack.llm.simhash import op4_simhash
+from lodestack.llm.substrings import op9_substrings
 from lodestack.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op8_quality": op8_quality,
+    "op9_substrings": op9_substrings,
     "op10_jpeg": op10_jpeg,
 }
 SQL: dict[str, str] = {
