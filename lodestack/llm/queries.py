@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestack.llm.decontaminate import op2_decontaminate
 from lodestack.llm.jpeg import op10_jpeg
 from lodestack.llm.mixing import OP6_SQL, op6_mixing
 from lodestack.llm.quality import op8_quality
@@ -12,6 +13,7 @@ from lodestack.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_decontaminate": op2_decontaminate,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
