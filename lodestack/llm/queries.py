@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestack.llm.chat import op7_chat
 from lodestack.llm.decontaminate import op2_decontaminate
 from lodestack.llm.jpeg import op10_jpeg
 from lodestack.llm.mixing import OP6_SQL, op6_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_jpeg": op10_jpeg,
