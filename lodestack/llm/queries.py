@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestack.llm.chat import op7_chat
 from lodestack.llm.decontaminate import op2_decontaminate
 from lodestack.llm.jpeg import op10_jpeg
+from lodestack.llm.licenses import op3_licenses
 from lodestack.llm.mixing import OP6_SQL, op6_mixing
 from lodestack.llm.quality import op8_quality
 from lodestack.llm.sharding import OP5_SQL, op5_sharding
@@ -15,6 +16,7 @@ from lodestack.llm.warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
+    "op3_licenses": op3_licenses,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
