@@ -47,14 +47,14 @@ def terms(text: str) -> Counter:
 
 
 class Weights:
-    """TF-IDF of the templates: idf(t) = ln((1 + T) / (1 + df(t))) + 1 over the T templates; unknown terms have df 0."""
+    """TF-IDF of the templates: idf(t) = ln((1 + T) / (1 + df(t))) + 1 over the T templates; unknown terms have df 0, common words are in all."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
         self.names = [n for n, _ in templates]
         counts = [terms(t) for _, t in templates]
         df = Counter(t for c in counts for t in c)
         self.unknown = math.log(1 + len(templates)) + 1
-        self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in df.items()}
+        self.idf = {t: 1.0 if t in COMMON else math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in df.items()}
         raw = [{t: n * self.idf[t] for t, n in c.items()} for c in counts]
         norms = [math.sqrt(sum(w * w for w in r.values())) for r in raw]
         self.unit = [{t: w / n for t, w in r.items()} for r, n in zip(raw, norms, strict=True)]
