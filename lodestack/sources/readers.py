@@ -80,7 +80,7 @@ def index_delta(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, value, line_no): lines of small control files with their numbers; each file is one row and one split."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")).where("value <> ''")
 
 
@@ -114,7 +114,7 @@ def chunk_tree(spark: SparkSession, path: str) -> DataFrame:
 def properties(spark: SparkSession, path: str, defaults: dict[str, str] | None = None) -> dict[str, str]:
     """A small ``key=value`` file, on the driver: repository settings, drive lists, packer state."""
     out = dict(defaults or {})
-    for (text,) in spark.read.option("wholetext", "true").text(path).collect():
+    for (text,) in spark.read.text(path, wholetext=True).collect():
         for line in text.splitlines():
             if line.strip() and line.lstrip()[0] not in "#!":
                 key, _, value = line.partition("=")

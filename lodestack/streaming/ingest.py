@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.plans.repo import Repo
-from lodestack.schemas import FILES
+
+
+#: What the source of whole files yields, to the letter.
+FILES = T.StructType([T.StructField("path", T.StringType(), False), T.StructField("modificationTime", T.TimestampType(), False), T.StructField("length", T.LongType(), False), T.StructField("content", T.BinaryType(), True)])
 
 
 def incoming_files(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
