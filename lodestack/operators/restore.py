@@ -38,9 +38,8 @@ def unavailable(references: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def reassemble(located_references: DataFrame) -> DataFrame:
     """(path, content) of files all of whose chunks are there, in order; files without chunks are not listed here."""
-    whole = located_references.groupBy("path").agg(F.bool_and(F.col("payload").isNotNull()).alias("complete"), F.collect_list(F.struct("pos", "payload")).alias("parts"))
-    joined = F.aggregate(F.transform(F.array_sort("parts"), lambda x: x["payload"]), F.lit(bytearray()).cast("binary"), lambda a, b: F.concat(a, b))
-    return whole.where("complete").select("path", joined.alias("content"))
+    whole = located_references.groupBy("path").agg(F.bool_and(F.col("payload").isNotNull()).alias("complete"), F.expr("listagg(payload) WITHIN GROUP (ORDER BY pos)").alias("content"))
+    return whole.where("complete").select("path", "content")
 
 
 def offsets(references: DataFrame, size: str = "raw_size") -> DataFrame:
