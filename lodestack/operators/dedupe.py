@@ -64,7 +64,8 @@ def under_cap(chunks: DataFrame, cap: int, order: list[str], new_bytes: Column,
     """
     if blocks is None:
         before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return chunks.withColumn("before", F.coalesce(F.sum(new_bytes).over(before), F.lit(0))).where((F.col("before") < cap) | (F.col("before") == 0) & (F.row_number().over(Window.orderBy(*order)) == 1)).drop("before")
+        summed = chunks.withColumns({"before": F.coalesce(F.sum(new_bytes).over(before), F.lit(0)), "nth": F.row_number().over(Window.orderBy(*order))})
+        return summed.where((F.col("before") < cap) | (F.col("nth") == 1)).drop("before", "nth")
     sums = chunks.groupBy(blocks).agg(F.sum(new_bytes).alias("block_bytes"))
     ahead = Window.orderBy(blocks).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(blocks).alias("b"), F.coalesce(F.sum("block_bytes").over(ahead), F.lit(0)).alias("base"), (F.row_number().over(Window.orderBy(blocks)) == 1).alias("opens"))
