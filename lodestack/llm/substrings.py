@@ -6,9 +6,9 @@ fingerprints as it has windows. The index keeps, for each fingerprint, the small
 sorted immutable runs. A batch of documents becomes a run; it is merge-joined with the runs before it, which tells what
 fingerprints now lie in two documents; runs are compacted when there are several.
 
-Only windows under such fingerprints are verified: compared by a 128-bit hash of all 13 words. Within an Arrow batch a
-window that a smaller document of that batch has is decided at once, and only its first document goes on to the shuffle;
-so a passage in a third of all documents arrives as one row for each batch, not for each document.
+Only windows under such fingerprints are verified: compared by a hash of all 13 words. Within a group of texts that are
+read together a window that a smaller document of the group has is decided at once, and only its first document goes on
+to the shuffle; so a passage in a third of all documents arrives as one row for each group, not for each document.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WordHashes, forget, grams, in_groups, materialise, mix, read_table
+from lodestack.llm.common import WordHashes, forget, grams, in_groups, materialise, read_table
 
 WIDTH, INNER = 13, 6
 BATCHES = 2
@@ -28,7 +28,6 @@ BATCHES = 2
 MAX_RUNS = 2
 #: Bytes of text whose words are hashed at once.
 CHUNK = 4 << 20
-SECOND = 0xD6E8FEB86659FD93
 
 
 def word_hashes(text: bytes, known: WordHashes) -> np.ndarray:
@@ -123,10 +122,35 @@ class FingerprintIndex:
         self.runs = [merged]
 
 
+def _runs(under: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where, in ``at``, a stretch of neighbouring windows under one fingerprint begins."""
+    fps = under[at]
+    return np.concatenate(([True], (np.diff(at) != 1) | (fps[1:] != fps[:-1])))
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _later(fp: np.ndarray, w: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have a window that an entry with a smaller document has too."""
+    order = np.lexsort((doc, w, fp))
+    fp, w, doc = fp[order], w[order], doc[order]
+    new = np.concatenate(([True], (fp[1:] != fp[:-1]) | (w[1:] != w[:-1])))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(fp)), 0))
+    out = np.empty(len(fp), bool)
+    out[order] = doc > doc[first]
+    return out
+
+
+WINDOWS = "fp long, doc_id long, tid long, at array<int>, w array<int>"
+
+
 def _windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Windows to compare: (a, b, doc_id, tid, at, settled). ``at``: where the window starts in that text, possibly often.
+    """Windows to compare: (fp, doc_id, tid, at, w), a row for each stretch of windows under one fingerprint.
 
-    settled: a smaller document of the same Arrow batch has the window; such rows are not needed for comparing.
+    at: where they start; w: 32 bits of the hash of each; with the fingerprint, 96 bits tell windows apart. Rows with a
+    null fp need no comparing: a smaller document of the same group of texts has those windows.
     """
     wanted = hits.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
     joined = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "tid").join(wanted, "doc_id").select("doc_id", "text", "tid", "fps")
@@ -140,35 +164,59 @@ def _windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 under = filed_under(words)
                 at = np.flatnonzero(np.isin(under, fps.values.to_numpy(zero_copy_only=False).view(np.uint64)))
                 if len(at):
-                    a, b = grams(words, WIDTH)[at], grams(mix(words + np.uint64(1)), WIDTH, SECOND)[at]
-                    parts.append((a, b, np.full(len(at), d, np.int64), np.full(len(at), tid.as_py(), np.int64), at))
+                    w = (grams(words, WIDTH)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    parts.append((under[at], w, np.full(len(at), d, np.int64), np.full(len(at), tid.as_py(), np.int64), at, _runs(under, at)))
             if parts:
-                yield from settle([np.concatenate(c) for c in zip(*parts, strict=True)])
+                fp, w, doc, tid, at, begins = (np.concatenate(c) for c in zip(*parts, strict=True))
+                settled = _later(fp, w, doc)
+                # settled windows: a row for each document; the others by stretches
+                for part in (settled, ~settled):
+                    if part.any():
+                        new = np.concatenate(([True], np.diff(np.cumsum(begins)[part]) != 0)) if part is not settled else np.concatenate(([True], (np.diff(doc[part]) != 0) | (np.diff(tid[part]) != 0)))
+                        starts = np.flatnonzero(new)
+                        ends = np.concatenate((starts, [int(part.sum())]))
+                        keys = pa.array(fp[part][starts].view(np.int64)) if part is not settled else pa.nulls(len(starts), pa.int64())
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(doc[part][starts]), pa.array(tid[part][starts]), _lists(ends, at[part]), _lists(ends, w[part]) if part is not settled else pa.nulls(len(starts), pa.list_(pa.int32()))], ["fp", "doc_id", "tid", "at", "w"])
+
+    return joined.mapInArrow(run, WINDOWS)
+
 
-    def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
-        a, b, doc, tid, at = (c[order] for c in columns)
-        new_key = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        new_row = new_key | np.concatenate(([True], (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1])))
-        starts = np.flatnonzero(new_row)
-        first = np.maximum.accumulate(np.where(new_key, np.arange(len(a)), 0))
-        later = doc[starts] > doc[first[starts]]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate((starts, [len(a)])).astype(np.int32)), pa.array(at.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a[starts].view(np.int64)), pa.array(b[starts].view(np.int64)), pa.array(doc[starts]), pa.array(tid[starts]), lists, pa.array(later)], ["a", "b", "doc_id", "tid", "at", "settled"]
-        )
+def _compared(windows: DataFrame) -> DataFrame:
+    """(doc_id, tid, at) of windows that a smaller document has, from rows that are dealt by fingerprint and sorted by it and doc_id.
 
-    return joined.mapInArrow(run, "a long, b long, doc_id long, tid long, at array<int>, settled boolean")
+    Rows stream; of a fingerprint that goes on, each different window is carried along once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
+        for batch in batches:
+            lists = batch.column(3)
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            at, w = lists.flatten().to_numpy(), batch.column(4).flatten().to_numpy()
+            fp, doc, tid = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            n = len(carried[0])
+            all_fp, all_w, all_doc = (np.concatenate(x) for x in zip(carried, (fp[row], w, doc[row]), strict=True))
+            later = _later(all_fp, all_w, all_doc)
+            last = np.flatnonzero((all_fp == fp[-1]) & ~later) if batch.num_rows else np.empty(0, np.int64)
+            _, once = np.unique(all_w[last], return_index=True)
+            carried = [x[last[once]] for x in (all_fp, all_w, all_doc)] if batch.num_rows else carried
+            hit = np.flatnonzero(later[n:])
+            if len(hit):
+                r = row[hit]
+                starts = np.flatnonzero(np.concatenate(([True], np.diff(r) != 0)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[r[starts]]), pa.array(tid[r[starts]]), _lists(np.concatenate((starts, [len(hit)])), at[hit])], ["doc_id", "tid", "at"])
+
+    return windows.repartition("fp").sortWithinPartitions("fp", "doc_id").mapInArrow(run, "doc_id long, tid long, at array<int>")
 
 
 def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, tid, starts): where windows start in a text that also start in a document with a smaller doc_id."""
     windows = materialise(_windows(docs, hits), "windows")
-    open_ones = windows.where("NOT settled").select("a", "b", "doc_id", "tid", "at")
-    first = open_ones.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    found = open_ones.join(first.select(F.col("a").alias("x"), F.col("b").alias("y"), "least"), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).where("doc_id > least")
-    both = found.select("doc_id", "tid", "at").unionByName(windows.where("settled").select("doc_id", "tid", "at"))
-    return materialise(both.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("at")).alias("starts")), "repeated")
+    both = _compared(windows.where("fp IS NOT NULL")).unionByName(windows.where("fp IS NULL").select("doc_id", "tid", "at"))
+    out = materialise(both.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("at")).alias("starts")), "repeated")
+    forget(docs.sparkSession, windows)
+    return out
 
 
 def _covered(n: int, starts: np.ndarray) -> np.ndarray:

@@ -51,6 +51,15 @@ def test_against_brute_force(spark, batches, max_runs):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_groups_that_go_on_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        test_against_brute_force(spark, 2, 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
