@@ -44,8 +44,12 @@ class BadArchive(ValueError):
 def train_dictionary(pages: DataFrame) -> bytes:
     """From a bounded, seeded sample of pages; too little text to train on gives an empty dictionary."""
     sample = pages.where("html IS NOT NULL AND octet_length(html) <= 65536").select("html", F.xxhash64("page_id", "html").alias("turn"))
+    # numbers first: then only the sample's own pages travel, whatever the number of tasks
+    turns = [r.turn for r in sample.select("turn").orderBy("turn").limit(SAMPLE_PAGES).collect()]
+    if not turns:
+        return b""
     texts, total = [], 0
-    for row in sample.orderBy("turn").limit(SAMPLE_PAGES).collect():
+    for row in sample.where(F.col("turn") <= turns[-1]).orderBy("turn").limit(SAMPLE_PAGES).collect():
         texts.append(row.html.encode())
         total += len(texts[-1])
         if total >= SAMPLE_BYTES:
