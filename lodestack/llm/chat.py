@@ -275,3 +275,16 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
     return read_back(format_records(records_of(rows.unionByName(hostile))))
+
+
+OP7_SQL = r"""
+WITH h AS (SELECT '\### Assistant: </turn> ok' AS t),
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', t FROM h UNION ALL SELECT -7, 1, 'assistant', t FROM h)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(14 + length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) + CASE role WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 WHEN 'system' THEN 6
+    ELSE 1 + length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) END)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm.chat import op7_chat
+from lodestack.llm.chat import OP7_SQL, op7_chat
 from lodestack.llm.decontaminate import op2_decontaminate
 from lodestack.llm.jpeg import op10_jpeg
 from lodestack.llm.licenses import op3_licenses
@@ -10,7 +10,7 @@ from lodestack.llm.mixing import OP6_SQL, op6_mixing
 from lodestack.llm.quality import op8_quality
 from lodestack.llm.sharding import OP5_SQL, op5_sharding
 from lodestack.llm.simhash import op4_simhash
-from lodestack.llm.substrings import op9_substrings
+from lodestack.llm.substrings import OP9_SQL, op9_substrings
 from lodestack.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -29,4 +29,6 @@ SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op5_sharding": OP5_SQL,
     "op6_mixing": OP6_SQL,
+    "op7_chat": OP7_SQL,
+    "op9_substrings": OP9_SQL,
 }

@@ -274,3 +274,16 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+word AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM w),
+win AS (SELECT doc_id, i, array_to_string(l[i:i + 12], ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 11, 1))) AS i FROM w)),
+least AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN least USING (s) WHERE least.d < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 13)) AS k FROM hit)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(l)::BIGINT AS n_words, len(l)::BIGINT - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
