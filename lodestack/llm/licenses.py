@@ -2,11 +2,13 @@
 
 DataFrame functions only. Every line of a file can be a header. A line that has none of a template's trigger terms cannot
 reach the threshold (the other terms hold too little of the template's norm, by Cauchy-Schwarz), so only lines with a
-trigger are taken apart into terms; nothing that could match is left out.
+trigger are taken apart into terms, and of these only lines that can reach the threshold are shuffled; nothing that could
+match is left out.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -71,6 +73,25 @@ class Weights:
         return [t for t in unit if t not in free]
 
 
+def _terms(text: str) -> Column:
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(lowered, F.lit(f"({TERM})"), F.lit(1))
+
+
+def _enough(weights: Weights, threshold: float) -> Column:
+    """Whether the line can reach the threshold, by its terms taken one by one.
+
+    With x the weight of each occurrence, the norm of the line is at least the root of the sum of x squared (they are
+    equal if no term repeats), so the sum of x times the template's weight over that root bounds the cosine from above.
+    One expression, evaluated where the line is: what goes on to the shuffle are lines that are nearly licences.
+    """
+    steps = {t: [x * x, *[x * u.get(t, 0.0) for u in weights.unit]] for t, x in weights.idf.items()}
+    vectors = F.from_json(F.lit(json.dumps(steps)), "map<string, array<double>>")
+    other = F.array(F.lit(weights.unknown**2), *[F.lit(0.0)] * len(weights.unit))
+    zeros = F.array(*[F.lit(0.0)] * (1 + len(weights.unit)))
+    return F.aggregate(_terms("line"), zeros, lambda held, t: F.zip_with(held, F.coalesce(F.try_element_at(vectors, t), other), lambda a, b: a + b), lambda held: F.array_max(F.slice(held, 2, len(weights.unit))) >= threshold * 0.999 * F.sqrt(held[0]))
+
+
 def scored_lines(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """(path, tid, bytes, line_no, line_bytes, score, template): lines that reach the threshold with their best template."""
     spark = files.sparkSession
@@ -79,9 +100,9 @@ def scored_lines(files: DataFrame, weights: Weights, threshold: float = THRESHOL
     # a licence file is one unit, whatever its lines
     units = F.when(whole, F.array("text")).otherwise(F.split("text", "\n"))
     lines = files.where(F.col("text").rlike(has_trigger)).select("path", "tid", F.octet_length("text").alias("bytes"), F.posexplode(units).alias("line_no", "line")).where(F.col("line").rlike(has_trigger))
-    lowered = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lines = lines.where(_enough(weights, threshold))
     key = ["path", "tid", "bytes", "line_no", "line_bytes"]
-    tf = lines.select("path", "tid", "bytes", "line_no", F.octet_length("line").alias("line_bytes"), F.explode(F.regexp_extract_all(lowered, F.lit(f"({TERM})"), F.lit(1))).alias("term")).groupBy(*key, "term").count()
+    tf = lines.select("path", "tid", "bytes", "line_no", F.octet_length("line").alias("line_bytes"), F.explode(_terms("line")).alias("term")).groupBy(*key, "term").count()
     rows = [(t, weights.idf[t], *[u.get(t, 0.0) for u in weights.unit]) for t in sorted(weights.idf)]
     vocabulary = spark.createDataFrame(rows, "t string, idf double, " + ", ".join(f"w{k} double" for k in range(len(weights.unit))))
     weighed = tf.join(F.broadcast(vocabulary), F.col("term") == F.col("t"), "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(weights.unknown)))
