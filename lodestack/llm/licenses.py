@@ -35,6 +35,7 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Proprietary", "All rights reserved."),
 )
+RESERVED = "Proprietary"
 THRESHOLD = 0.6
 #: A file whose licence lines make up this share of its bytes, or that has such a name, speaks for its directory.
 FILE_SHARE = 0.5
@@ -97,8 +98,8 @@ def scored_lines(files: DataFrame, weights: Weights, threshold: float = THRESHOL
     spark = files.sparkSession
     has_trigger = rf"(?i)(?<![a-z0-9])({'|'.join(weights.triggers)})(?![a-z0-9])"
     whole = F.col("path").rlike(FILE_NAMES)
-    # a licence file is one unit, whatever its lines
-    units = F.when(whole, F.array("text")).otherwise(F.split("text", "\n"))
+    # a licence file is one unit, whatever its lines, and each of its lines is another: a full text is far longer than a template
+    units = F.when(whole, F.concat(F.array("text"), F.split("text", "\n"))).otherwise(F.split("text", "\n"))
     lines = files.where(F.col("text").rlike(has_trigger)).select("path", "tid", F.octet_length("text").alias("bytes"), F.posexplode(units).alias("line_no", "line")).where(F.col("line").rlike(has_trigger))
     lines = lines.where(_enough(weights, threshold))
     key = ["path", "tid", "bytes", "line_no", "line_bytes"]
@@ -128,7 +129,8 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     origin: ``header`` (the best line of the file itself; equal scores: the first template, then the first line),
     ``directory`` (the licence file in the nearest directory at or above the file's), or ``none``. A licence file has its
-    own header, so it is of origin ``header``. Where a directory has several licence files, the best score counts, then
+    own header, so it is of origin ``header``; as many licences reserve rights in a line of their own, ``RESERVED`` is
+    its licence only if nothing else matches. Where a directory has several licence files, the best score counts, then
     the least path. Null paths have headers but no directory; null and empty texts have no header but inherit. tid tells
     rows with one path and different texts apart. An empty table gives an empty result.
     """
@@ -136,7 +138,8 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = files.select("path", "text", F.xxhash64("text").alias("tid"))
     named = F.element_at(F.array(*map(F.lit, weights.names)), F.col("template") + 1)
     lines = materialise(scored_lines(own, weights, threshold).withColumn("license", named), "license_lines")
-    top = F.max(F.struct("score", -F.col("template"), -F.col("line_no"), "license")).alias("x")
+    reserved = F.col("path").rlike(FILE_NAMES) & (F.col("license") == RESERVED)
+    top = F.max(F.struct(F.coalesce(~reserved, F.lit(True)).alias("named"), "score", -F.col("template"), -F.col("line_no"), "license")).alias("x")
     headers = lines.groupBy("path", "tid", "bytes").agg(top, F.sum("line_bytes").alias("covered"))
     headers = materialise(headers.select("path", "tid", "bytes", "covered", "x.license", "x.score"), "headers")
     speaks = F.col("path").rlike(FILE_NAMES) | (F.col("covered") >= FILE_SHARE * F.col("bytes"))

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 
@@ -85,3 +86,41 @@ def test_templates_match_themselves(spark, name, text):
 
 def test_empty_table(spark):
     assert m.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+MIT = """MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+COMMON = "/usr/share/common-licenses"
+WHOLE = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+def test_whole_licence_texts_speak_for_their_directories(spark):
+    texts = {"mit": (MIT, "MIT"), "closed": ("Copyright 2024\nAll rights reserved.\n", "Proprietary")}
+    for name, licence in WHOLE.items():
+        if os.path.exists(f"{COMMON}/{name}"):
+            with open(f"{COMMON}/{name}", encoding="utf-8") as f:
+                texts[name] = (f.read(), licence)
+    rows = [r for at, (text, _) in texts.items() for r in ((f"{at}/LICENSE", text), (f"{at}/src/a.c", "int x;"))]
+    got = {r.path: (r.license, r.origin) for r in m.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    want = {f"{at}/{file}": (licence, origin) for at, (_, licence) in texts.items() for file, origin in (("LICENSE", "header"), ("src/a.c", "directory"))}
+    assert got == want
