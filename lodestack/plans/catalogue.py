@@ -390,6 +390,15 @@ def parity_xor_row0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.where(F.length("p") > 0).select("stripe_id", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.length("p") - F.lit(1).cast("long"))).alias("place")).select("stripe_id", "place", byte.alias("value"))
 
 
+@query(f"""SELECT stripe_id, place, bit_xor(('0x' || substr(h, 2 * place::BIGINT + 1, 2))::INTEGER) AS value FROM (
+  SELECT s.n // {K} AS stripe_id, hex(encode(k.line)) AS h, unnest(range(strlen(k.line))) AS place FROM st s JOIN k ON k.doc_id = s.doc_id AND k.pos = s.pos) GROUP BY 1, 2""")
+def parity_xor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row 0 of every stripe with all its members, byte by byte. ``parity_xor_row0`` is the same of the ASCII lines of the first stripes only."""
+    made = parity.encode(_with_payload(spark, sf_dir), K, R, ["stripe_id"]).select("stripe_id", F.col("parity")[0].alias("p"))
+    byte = F.conv(F.hex(F.expr("substring(p, cast(place AS int) + 1, 1)")), 16, 10).cast("int")
+    return made.where(F.length("p") > 0).select("stripe_id", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.length("p") - F.lit(1).cast("long"))).alias("place")).select("stripe_id", "place", byte.alias("value"))
+
+
 def _recovered(spark: SparkSession, sf_dir: str, lost: str) -> DataFrame:
     members = _with_payload(spark, sf_dir)
     stripes = parity.encode(members, K, R, ["stripe_id"])
