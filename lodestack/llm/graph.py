@@ -26,26 +26,38 @@ def _toward_minimum(edges: DataFrame, both_ways: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link to another.
 
-    Alternates large-star and small-star steps until the link table stops changing; each round is written to the shared
-    folder, so plans stay short and a lost executor costs one round at most. Null ends and self-links are ignored.
+    Alternates large-star and small-star steps until the link table stops changing, which it must; each round is written
+    to the shared folder, so plans stay short and a lost executor costs one round at most. Null ends and self-links are
+    ignored. Links need not be distinct.
     """
-    spark = edges.sparkSession
     kept = edges.select(F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v"))
     kept = materialise(kept.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         after = materialise(_toward_minimum(_toward_minimum(kept, True), False), "links")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        forget(spark, kept)
+        forget(edges.sparkSession, kept)
         kept = after
-        if mark == before:
+        if mark == before or not mark[0]:
             break
         before = mark
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = kept.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = kept.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return found.unionByName(roots.join(found.select("node"), "node", "left_anti"))
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, held) after links (u, v) among nodes: groups that a link joins become one, named by its least member.
+
+    Links inside a group are dropped before any round, so what has been joined is not joined again.
+    """
+    a, b = (labels.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("a", "x"), ("b", "y")))
+    crossing = links.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    crossing = materialise(crossing, "crossing")
+    if crossing.isEmpty():
+        return labels
+    found = components(crossing, "x", "y").select(F.col("node").alias("k"), "component")
+    return materialise(labels.join(found, F.col("held") == F.col("k"), "left").select("node", F.coalesce("component", "held").alias("held")), "labels")

@@ -25,6 +25,8 @@ from lodestack.llm.graph import components
 
 #: Shingles hashed at once; bounds the bit matrix.
 BLOCK = 1 << 16
+#: Nodes of one anchor that are compared at once.
+HELD = 1 << 16
 
 
 def shingle_hashes(text: bytes, n: int, seed: int) -> np.ndarray:
@@ -94,36 +96,38 @@ def anchors(values: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(found)) if rows else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
-def _keys(lo: np.ndarray, hi: np.ndarray, scheme: str) -> tuple[np.ndarray, np.ndarray]:
-    """whole: one code of length 63 over ``lo``. halves: a code of length 31 over each 32-bit half of both words."""
-    if scheme == "whole":
+def _keys(lo: np.ndarray, hi: np.ndarray, quarter: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """A code of length 63 over ``lo``; or one of length 31 over a quarter (32 bits) of both words."""
+    if quarter is None:
         return anchors(lo, 6)
-    rows, keys = [], []
-    for k, part in enumerate((lo, lo >> np.uint64(32), hi, hi >> np.uint64(32))):
-        r, a = anchors(part, 5)
-        rows.append(r)
-        keys.append(a | np.uint64(k << 32))
-    return np.concatenate(rows), np.concatenate(keys)
+    return anchors((lo, hi)[quarter // 2] >> np.uint64(32 * (quarter % 2)), 5)
 
 
-def _forest(lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Links that connect whatever is within ``most`` bits, no more of them than members: never all pairs."""
+def _stars(lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(least member, all others) of each connected part of what is within ``most`` bits: never all pairs."""
     left = np.arange(len(ids))
-    while len(left):
-        stack, left = [left[0]], left[1:]
+    while len(left) > 1:
+        stack, part, left = [left[0]], [left[:1]], left[1:]
         while stack and len(left):
             at = stack.pop()
             near = (np.bitwise_count(lo[left] ^ lo[at]) + np.bitwise_count(hi[left] ^ hi[at])) <= most
-            for other in left[near]:
-                yield int(ids[at]), int(ids[other])
-            stack.extend(left[near])
-            left = left[~near]
-
-
-def anchor_links(nodes: DataFrame, most: int, scheme: str = "whole") -> DataFrame:
-    """(u, v): links among nodes (node, lo, hi) that connect exactly what chains of distances of at most ``most`` connect.
-
-    Nodes are copied to their anchors, sorted by anchor, and compared anchor by anchor as a stream.
+            if near.any():
+                part.append(left[near])
+                stack.extend(left[near])
+                left = left[~near]
+        if len(part) > 1:
+            members = ids[np.concatenate(part)]
+            least = members.min()
+            yield int(least), members[members != least]
+
+
+def anchor_links(nodes: DataFrame, most: int, quarter: int | None = None) -> DataFrame:
+    """(u, v): links among nodes (node, lo, hi) that meet at an anchor; u is the least of its connected part there.
+
+    Over the whole of ``lo`` (quarter None) they connect exactly what chains of distances of at most ``most`` (2) connect.
+    Nodes are copied to their anchors, sorted by anchor, and compared anchor by anchor as a stream. An anchor of the whole
+    code holds 4034 nodes at most; one of a quarter may hold more than ``HELD`` and is then compared in pieces of that size,
+    with the least of each part carried from piece to piece.
     """
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +135,7 @@ def anchor_links(nodes: DataFrame, most: int, scheme: str = "whole") -> DataFram
             for at in range(0, whole.num_rows, 20_000):
                 batch = whole.slice(at, 20_000)
                 node, lo, hi = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                rows, keys = _keys(lo.view(np.uint64), hi.view(np.uint64), scheme)
+                rows, keys = _keys(lo.view(np.uint64), hi.view(np.uint64), quarter)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[rows]), pa.array(lo[rows]), pa.array(hi[rows])], ["key", "node", "lo", "hi"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +145,11 @@ def anchor_links(nodes: DataFrame, most: int, scheme: str = "whole") -> DataFram
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             yield from links([x[:cut] for x in held])
             rest = [x[cut:] for x in held]
+            if len(rest[0]) > HELD:
+                found = [*links(rest)]
+                yield from found
+                keep = np.isin(rest[1], np.concatenate([f.column(0).to_numpy() for f in found])) if found else np.zeros(len(rest[0]), bool)
+                rest = [x[keep] for x in rest]
         yield from links(rest)
 
     def links(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -149,27 +158,30 @@ def anchor_links(nodes: DataFrame, most: int, scheme: str = "whole") -> DataFram
         edges = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(key)]))
         crowded = np.flatnonzero(ends - starts > 1)
-        found = [x for k in crowded for a, b in [(starts[k], ends[k])] for x in _forest(lo[a:b], hi[a:b], node[a:b], most)]
+        found = [x for k in crowded for a, b in [(starts[k], ends[k])] for x in _stars(lo[a:b], hi[a:b], node[a:b], most)]
         if found:
-            u, v = np.array(found, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            u = np.repeat(np.array([x for x, _ in found], np.int64), [len(v) for _, v in found])
+            both = np.unique(np.c_[u, np.concatenate([v for _, v in found])], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
 
     copied = nodes.select("node", "lo", "hi").mapInArrow(copy, "key long, node long, lo long, hi long")
     dealt = copied.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def classes(prints: DataFrame, most: int = 2, scheme: str = "whole") -> DataFrame:
+def classes(prints: DataFrame, most: int = 2) -> DataFrame:
     """prints (doc_id, lo, hi) with component_id: the smallest doc_id reachable over links of at most ``most`` bits.
 
-    Equal fingerprints always share a component. Rows with a null doc_id take part through their fingerprint only; where
-    no row with that fingerprint has an id, component_id is null.
+    Equal fingerprints always share a component. Rows with a null doc_id take part through their fingerprint: it links
+    others like any fingerprint. Where no row of a component has an id, component_id is null.
     """
-    nodes = prints.groupBy("lo", "hi").agg(F.min("doc_id").alias("node"))
-    nodes = materialise(nodes, "nodes")
-    found = components(anchor_links(nodes.where("node is not null"), most, scheme), "u", "v")
-    named = nodes.join(found, "node", "left").select("lo", "hi", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, ["lo", "hi"])
+    nodes = prints.groupBy("lo", "hi").agg(F.min("doc_id").alias("least"))
+    # fingerprints stand for themselves: their own 64 bits are the node, so that those without a doc_id link too
+    nodes = materialise(nodes.withColumn("node", F.col("lo")), "nodes")
+    found = components(anchor_links(nodes, most), "u", "v")
+    named = materialise(nodes.join(found, "node", "left").select("lo", "hi", "least", F.coalesce("component", "node").alias("part")), "named")
+    ids = named.groupBy(F.col("part").alias("p")).agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, F.col("part") == F.col("p")).select("lo", "hi", "component_id"), ["lo", "hi"])
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, seed: int = 42, most: int = 2) -> DataFrame:
@@ -184,4 +196,6 @@ def near_duplicates(docs: DataFrame, n: int = 3, seed: int = 42, most: int = 2)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, links of 2 bits or fewer. Null and empty texts: fingerprint zero, linked like any other;
+    repeated rows stay; an empty table gives an empty result."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
