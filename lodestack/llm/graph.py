@@ -49,6 +49,12 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     return found.unionByName(roots.join(found.select("node"), "node", "left_anti"))
 
 
+def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, held) for nodes (node): the least node reachable over links (u, v), itself included."""
+    found = components(links, "u", "v").select(F.col("node").alias("k"), "component")
+    return materialise(nodes.select("node").join(found, F.col("node") == F.col("k"), "left").select("node", F.coalesce("component", "node").alias("held")), "labels")
+
+
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, held) after links (u, v) among nodes: groups that a link joins become one, named by its least member.
 

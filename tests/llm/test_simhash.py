@@ -81,3 +81,26 @@ def test_chain_of_links_is_followed_and_wide_gaps_are_not(spark):
     prints = [(1, base), (2, base ^ 3), (3, base ^ 3 ^ 12), (4, base ^ 3 ^ 12 ^ (1 << 63)), (9, base ^ (7 << 40))]
     df = spark.createDataFrame([(d, p - (1 << 64) if p >> 63 else p, 0) for d, p in prints], "doc_id long, lo long, hi long")
     assert {r.doc_id: r.component_id for r in simhash.classes(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
+
+
+def test_fingerprints_without_an_id_link_others(spark):
+    from lodestack.llm.simhash import classes
+
+    rows = [(1, 0b00, 0), (None, 0b11, 0), (2, 0b1111, 0), (None, 0b111111 << 20, 0)]
+    got = classes(spark.createDataFrame(rows, "doc_id long, lo long, hi long")).collect()
+    assert {(r.doc_id, r.lo): r.component_id for r in got} == {(1, 0): 1, (None, 0b11): 1, (2, 0b1111): 1, (None, 0b111111 << 20): None}
+
+
+def test_links_of_a_crowd_grow_with_its_members_only(spark):
+    from lodestack.llm.simhash import anchor_links
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 2)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3).astype(np.uint64)) for _ in range(8000)], np.uint64)
+    prints = (base.astype(np.uint64)[None, :] ^ flips.reshape(-1, 2)).view(np.int64)
+    share = []
+    for n in (500, 4000):
+        nodes = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints[:n])], "node long, lo long, hi long")
+        links = anchor_links(nodes, 22, 0).distinct()
+        share.append(links.count() / n)
+    assert max(share) < 17  # at most one for each of a node's anchors
