@@ -24,9 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. Only where the session names none (tests), a local one is set."""
+    """The folder that the driver and all executors see. Where the session names none, one is set on a single machine only."""
     found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set(CHECKPOINT, found)
     return found.rstrip("/")
@@ -72,6 +74,11 @@ def own_columns(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names], *[F.col(old).alias(new) for new, old in renamed.items()])
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The whole row as ``row``, and the named columns: what is joined on or added beside them clashes with nothing."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[df[n] for n in names])
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of an Arrow string column; None for null."""
     return column.cast(pa.binary()).to_pylist()

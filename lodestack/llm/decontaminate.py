@@ -220,8 +220,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap with no benchmark item, columns unchanged."""
-    bad = materialise(leaks(docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
+    bad = materialise(leaks(docs, benchmark).select(F.col("doc_id").alias("d"), F.col("tid").alias("t")).distinct(), "leaks")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["d"]) & (F.xxhash64(docs["text"]) == bad["t"]), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

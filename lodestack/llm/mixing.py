@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WORD, materialise, read_table
+from lodestack.llm.common import WORD, materialise, packed, read_table
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -102,17 +102,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, columns unchanged."""
     _, decided, n = plan(docs, weights, epochs, seed)
-    decided = decided.select(*[F.col(c).alias(f"__{c}") if c in ("s", "source_size", "target") else F.col(c) for c in decided.columns])
-    ours = {"whole", "edge", "edge_in"}
-    renamed = {c: f"__doc_{c}" for c in docs.columns if c in ours}
-    kept = docs.withColumnsRenamed(renamed)
-    joined = kept.join(_small(decided, n), F.col("source").eqNullSafe(F.col("__s")))
-    rows = joined.withColumn("__n", _copies(seeded_cell(F.col("doc_id"), seed)))
-    rows = rows.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    return rows.select(*[F.col(renamed.get(c, c)).alias(c) for c in docs.columns])
+    joined = packed(docs, "doc_id", "source").join(_small(decided, n), F.col("source").eqNullSafe(F.col("s")))
+    rows = joined.select("row", _copies(seeded_cell(F.col("doc_id"), seed)).alias("n")).where("n > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Null and empty texts have size 0 and are taken 0 words; repeated rows each count; a null source is the
+    last; very long texts count whole; an empty table gives an empty result."""
     return mix(read_table(spark, sf_dir, "documents")).drop("copies")
 
 

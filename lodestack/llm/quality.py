@@ -21,7 +21,8 @@ from lodestack.llm.common import read_table, texts_of
 BLOCK = 2048
 LEVEL = 3
 DICT_BYTES = 64 << 10
-#: Labelled rows that a model is fitted on, for each label: at most so many, and at most so many bytes of text.
+#: Labelled rows that a model is fitted on, for each label: at most so many, and at most so many bytes of text, of which
+#: no single text is more than a sixteenth. Longer texts are scored like any other, but not learned from.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16 << 20
 THRESHOLD = 0.7
 
@@ -47,7 +48,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: in
         turn = F.xxhash64("doc_id")
         chosen = known.where(F.col("y") == y).orderBy(turn, "doc_id").limit(rows).select(F.col("doc_id").alias("__id"))
         texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(turn.alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
-        texts = texts.orderBy("turn", "text").limit(rows)
+        texts = texts.where(F.octet_length("text") <= size // 16).orderBy("turn", "text").limit(rows)
         upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0))
         out[y] = ([r.text.encode() for r in texts.withColumn("upto", upto).where(F.col("upto") <= size).orderBy("turn", "text").select("text").collect()], counts.get(y, 0))
     return out
@@ -155,10 +156,15 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, columns unchanged."""
-    kept = docs.withColumnsRenamed({"score": "__score"})
-    return scores(kept, model).where(F.col("score") >= threshold).drop("score").withColumnsRenamed({"__score": "score"})
+    aside = "score"
+    while aside in docs.columns:
+        aside += "_"
+    kept = scores(docs.withColumnsRenamed({"score": aside}), model).where(F.col("score") >= threshold).drop("score")
+    return kept.withColumnsRenamed({aside: "score"}) if "score" in docs.columns else kept
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Null and empty texts score by the curve at zero; equal texts, also repeated rows, score alike; very
+    long texts are scored whole; a null doc_id is not held out; an empty table gives an empty result."""
     docs = read_table(spark, sf_dir, "documents")
     return classify(docs, fit(docs, read_table(spark, sf_dir, "labels")))

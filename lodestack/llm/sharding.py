@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import materialise, read_table
+from lodestack.llm.common import materialise, packed, read_table
 
 LIMIT = 16 << 20
 STEP = 8
@@ -83,8 +83,7 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     keyed = materialise(docs.select(h1.alias("__h1"), h2.alias("__h2"), size.alias("__bytes")), "keyed")
     kept = docs.drop("shard", "shard_bytes", "shard_docs")
-    names = kept.columns
-    rest = kept.select("*", h1.alias("__h1"), h2.alias("__h2"))
+    rest = packed(kept, "doc_id", "text").select("row", h1.alias("__h1"), h2.alias("__h2"))
     done = []
     steps = directory(keyed, limit)
     for n, (depth, cells) in enumerate(steps):
@@ -92,9 +91,9 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         q1, q2 = _prefix(depth)
         joined = rest.join(renamed, (q1 == F.col("__p1")) & (q2 == F.col("__p2")))
         bits = F.when(F.col("__depth") > WORD_BITS, F.concat(F.lpad(F.bin("__s1"), WORD_BITS, "0"), F.lpad(F.bin("__s2"), F.col("__depth") - WORD_BITS, F.lit("0")))).otherwise(F.lpad(F.bin("__s1"), F.col("__depth"), F.lit("0")))
-        done.append(joined.where("__depth IS NOT NULL").select(*names, bits.alias("shard"), F.col("__shard_bytes").alias("shard_bytes"), F.col("__shard_docs").alias("shard_docs")))
+        done.append(joined.where("__depth IS NOT NULL").select("row.*", bits.alias("shard"), F.col("__shard_bytes").alias("shard_bytes"), F.col("__shard_docs").alias("shard_docs")))
         if n + 1 < len(steps):
-            rest = joined.where("__depth IS NULL").select(*names, "__h1", "__h2")
+            rest = joined.where("__depth IS NULL").select("row", "__h1", "__h2")
     return reduce(DataFrame.unionByName, done)
 
 
