@@ -10,9 +10,12 @@ CHECKPOINT = "spark.checkpoint.dir"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder that the session names; only where it names none (tests), a local one is set."""
+    """``df`` checkpointed in the shared folder that the session names; where it names none, one is set on a single machine only."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get(CHECKPOINT, None) or "file://" + tempfile.mkdtemp(prefix="lodestack-"))
+        folder = spark.conf.get(CHECKPOINT, None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT} to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="lodestack-"))
     return df.checkpoint()
