@@ -7,6 +7,7 @@ Spark reaches will do. Writing deals whole tasks into archives of bounded size;
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -25,15 +26,17 @@ DICT_BYTES = 64 << 10
 #: The dictionary is trained on at most so many pages and bytes.
 SAMPLE_PAGES, SAMPLE_BYTES = 400, 4 << 20
 ARCHIVE_BYTES = 4 << 20
+#: Bytes of an archive that are handed to the decoder at once.
+PIECE = 16 << 10
 #: Payloads below this are always stored whole.
 REVISIT_BYTES = 1000
 LEVEL = 3
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD = "archive string, at long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"
+RECORD = "archive string, at long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, record_id string, error string"
 _FIELDS = pa.schema(
-    [("archive", pa.string()), ("at", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())]
+    [("archive", pa.string()), ("at", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("error", pa.string())]
 )
 
 
@@ -42,7 +45,7 @@ class BadArchive(ValueError):
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """From a bounded, seeded sample of pages; too little text to train on gives an empty dictionary."""
+    """From a bounded, seeded sample of pages of up to 64 KiB (longer ones are compressed with what these teach); too little text to train on gives an empty dictionary."""
     sample = pages.where("html IS NOT NULL AND octet_length(html) <= 65536").select("html", F.xxhash64("page_id", "html").alias("turn"))
     # numbers first: then only the sample's own pages travel, whatever the number of tasks
     turns = [r.turn for r in sample.select("turn").orderBy("turn").limit(SAMPLE_PAGES).collect()]
@@ -65,15 +68,27 @@ def dictionary_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICT_MAGIC, len(body)) + body
 
 
+def _skippable(content: bytes | memoryview, at: int) -> int | None:
+    """Where the skippable frame at ``at`` ends, or None if there is none."""
+    if len(content) - at < 4 or not 0x184D2A50 <= int.from_bytes(content[at : at + 4], "little") <= 0x184D2A5F:
+        return None
+    if len(content) - at < 8 or (end := at + 8 + int.from_bytes(content[at + 4 : at + 8], "little")) > len(content):
+        raise BadArchive(f"the skippable frame at byte {at} is cut off")
+    return end
+
+
 def take_dictionary(content: bytes) -> tuple[bytes, int]:
     """(dictionary, where the records begin); an archive without such a frame has none."""
-    if len(content) < 8 or struct.unpack_from("<I", content)[0] != DICT_MAGIC:
+    if int.from_bytes(content[:4], "little") != DICT_MAGIC:
         return b"", 0
-    size = struct.unpack_from("<I", content, 4)[0]
-    if 8 + size > len(content):
-        raise BadArchive("the dictionary's frame is cut off")
-    body = content[8 : 8 + size]
-    return (zstandard.ZstdDecompressor().decompress(body) if body[:4] == ZSTD_MAGIC else body), 8 + size
+    end = _skippable(content, 0)
+    body = content[8:end]
+    if body[:4] != ZSTD_MAGIC:
+        return body, end
+    try:
+        return zstandard.ZstdDecompressor().decompress(body), end
+    except zstandard.ZstdError as e:
+        raise BadArchive(f"the dictionary does not decode: {e}") from e
 
 
 def _value(text: str | None) -> str:
@@ -115,23 +130,65 @@ def _headers(lines: bytes, first: bytes) -> dict[str, str]:
     head, *rest = lines.split(b"\r\n")
     if not head.startswith(first):
         raise BadArchive(f"no {first.decode()} line")
-    out = {}
+    out, name = {}, ""
     for line in rest:
-        name, colon, value = line.decode().partition(":")
+        text = line.decode(errors="replace")
+        if text[:1] in (" ", "\t") and name:  # a value may go on in the next line
+            out[name] += " " + text.strip()
+            continue
+        name, colon, value = text.partition(":")
         if not colon or not name or name != name.strip():
             raise BadArchive("a header line without a name")
-        out[name.lower()] = value.strip()
+        name = name.lower()
+        out.setdefault(name, value.strip())
     return out
 
 
 def _page(urn: str) -> int | None:
-    if not (urn.startswith("<urn:page:") and urn.endswith(">")):
-        raise BadArchive("a record id of another form")
-    return int(urn[10:-1]) if urn[10:-1] else None
+    """The page that a record id of ours names; other ids name none."""
+    number = urn.removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number != urn and number.removeprefix("-").isdigit() else None
+
+
+def _matches(stated: str, data: bytes) -> bool:
+    """Whether a digest header fits: algorithm, colon, base 16 or base 32. Unknown algorithms are taken on trust."""
+    name, _, value = stated.partition(":")
+    if (name := name.lower().replace("-", "")) not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    digest = hashlib.new(name, data).digest()
+    return value.lower() == digest.hex() or value.rstrip("=").upper() == base64.b32encode(digest).decode().rstrip("=")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The entity of a body in HTTP's chunked form."""
+    out, at = [], 0
+    while True:
+        line = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:line].split(b";")[0], 16) if line >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or line + 2 + size > len(body):
+            raise BadArchive("a broken chunk in an HTTP body")
+        if not size:
+            return b"".join(out)
+        out.append(body[line + 2 : line + 2 + size])
+        at = line + 4 + size
+
+
+def _http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
+    cut = block.find(b"\r\n\r\n")
+    if cut < 0:
+        raise BadArchive("HTTP headers without an end")
+    return _headers(block[:cut], b"HTTP/"), block[cut + 4 :]
 
 
 def parse_record(raw: bytes) -> dict:
-    """Fields of one decoded frame; raises BadArchive where a header is missing or a length or digest does not hold."""
+    """Fields of one decoded frame; raises BadArchive where a header is missing or a length or digest does not hold.
+
+    Any type and id of record will do. The payload of an HTTP response is its body (that of the block, if digests are of
+    the chunked form as sent; ``payload_bytes`` counts the same), of any other record its block.
+    """
     end = raw.find(b"\r\n\r\n")
     if end < 0:
         raise BadArchive("headers without an end")
@@ -142,57 +199,70 @@ def parse_record(raw: bytes) -> dict:
     length, block = h["content-length"], raw[end + 4 : -4]
     if not length.isdigit() or raw[-4:] != b"\r\n\r\n" or len(block) != int(length):
         raise BadArchive(f"content-length {length} but the block has {len(block)} bytes")
-    if "warc-block-digest" in h and h["warc-block-digest"] != f"sha1:{hashlib.sha1(block).hexdigest()}":
+    if "warc-block-digest" in h and not _matches(h["warc-block-digest"], block):
         raise BadArchive("the block's digest differs")
-    revisit = h["warc-type"] == "revisit"
-    cut = block.find(b"\r\n\r\n")
-    if cut < 0:
-        raise BadArchive("HTTP headers without an end")
-    http, body = _headers(block[:cut], b"HTTP/"), block[cut + 4 :]
-    stated = http.get("content-length", "")
-    if not stated.isdigit():
-        raise BadArchive("no HTTP content-length")
-    digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
+    kind, stated_digest = h["warc-type"], h.get("warc-payload-digest", "")
+    http = h.get("content-type", "").lower().replace(" ", "").startswith("application/http")
+    revisit, payload, size = kind == "revisit", block, len(block)
     if revisit:
-        if body or "warc-refers-to" not in h or not digest:
+        headers, body = _http_parts(block) if http and block else ({}, b"")
+        if body or not stated_digest or not ("warc-refers-to" in h or "warc-refers-to-target-uri" in h):
             raise BadArchive("a revisit with a body, or without what it refers to")
-    elif int(stated) != len(body):
-        raise BadArchive(f"HTTP content-length {stated} but the payload has {len(body)} bytes")
-    elif digest and digest != hashlib.sha1(body).hexdigest():
+        payload, stated = None, headers.get("content-length", "")
+        size = int(stated) if stated.isdigit() else None
+    elif http and kind == "response":
+        headers, payload = _http_parts(block)
+        stated = headers.get("content-length", "")
+        if "chunked" in headers.get("transfer-encoding", "").lower():
+            whole = _unchunked(payload)
+            payload = payload if stated_digest and not _matches(stated_digest, whole) else whole
+        elif stated and (not stated.isdigit() or int(stated) != len(payload)) and h.get("warc-truncated") is None:
+            raise BadArchive(f"HTTP content-length {stated} but the payload has {len(payload)} bytes")
+        size = len(payload)
+    if payload is not None and stated_digest and not _matches(stated_digest, payload):
         raise BadArchive("the payload's digest differs")
     return {
         "page_id": _page(h["warc-record-id"]),
-        "url": None if "x-no-target" in h else _plain(h.get("warc-target-uri", "")),
-        "record_type": h["warc-type"],
-        "payload_bytes": int(stated),
-        "payload_digest": digest or hashlib.sha1(body).hexdigest(),
-        "refers_to": _page(h["warc-refers-to"]) if revisit else None,
-        "payload": None if revisit else body,
+        "url": None if "x-no-target" in h or "warc-target-uri" not in h else _plain(h["warc-target-uri"]),
+        "record_type": kind,
+        "payload_bytes": size,
+        "payload_digest": stated_digest.removeprefix("sha1:") if payload is None else hashlib.sha1(payload).hexdigest(),
+        "refers_to": _page(h.get("warc-refers-to", "")) if revisit else None,
+        "payload": payload,
+        "record_id": h["warc-record-id"],
     }
 
 
 def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, decoded bytes) of each frame. Other skippable frames are passed over; trailing garbage raises."""
+    """(offset, decoded bytes) of each frame. Other skippable frames are passed over; trailing garbage raises.
+
+    A frame is fed piece by piece, so that only what it takes is copied, however long the archive is.
+    """
     dictionary, at = take_dictionary(content)
-    data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    try:
+        data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    except zstandard.ZstdError as e:
+        raise BadArchive(f"the dictionary does not load: {e}") from e
     reader = zstandard.ZstdDecompressor(dict_data=data) if data else zstandard.ZstdDecompressor()
     view = memoryview(content)
     while at < len(content):
-        magic = bytes(view[at : at + 4])
-        if len(magic) == 4 and 0x184D2A50 <= struct.unpack("<I", magic)[0] <= 0x184D2A5F:
-            at += 8 + struct.unpack_from("<I", content, at + 4)[0]
+        if (end := _skippable(view, at)) is not None:
+            at = end
             continue
-        if magic != ZSTD_MAGIC:
+        if view[at : at + 4] != ZSTD_MAGIC:
             raise BadArchive(f"no frame at byte {at}")
-        one = reader.decompressobj()
+        one, parts, end = reader.decompressobj(), [], at
         try:
-            raw = one.decompress(view[at:])
+            while not one.eof and end < len(content):
+                piece = view[end : end + PIECE]
+                parts.append(one.decompress(piece))
+                end += len(piece)
         except zstandard.ZstdError as e:
             raise BadArchive(f"the frame at byte {at} does not decode: {e}") from e
         if not one.eof:
             raise BadArchive(f"the frame at byte {at} is cut off")
-        yield at, raw
-        at = len(content) - len(one.unused_data)
+        yield at, b"".join(parts)
+        at = end - len(one.unused_data)
 
 
 def with_references(pages: DataFrame) -> DataFrame:
@@ -244,7 +314,8 @@ def read_archives(archives: DataFrame, strict: bool = True, payloads: bool = Tru
 
     archives: a table with ``content`` and a name in ``archive`` or ``path``. strict: a bad archive or record fails the
     job; else its row has the reason in ``error`` and, after a frame that does not decode, the rest of that archive is
-    not read.
+    not read. Every damage is a BadArchive. page_id and refers_to are null for records that ``write_archives`` did not make;
+    record_id is theirs.
     """
     name = "archive" if "archive" in archives.columns else "path"
 
@@ -258,7 +329,7 @@ def read_archives(archives: DataFrame, strict: bool = True, payloads: bool = Tru
                     for at, raw in frames(content):
                         try:
                             row = parse_record(raw) | {"error": None}
-                        except (BadArchive, ValueError) as e:
+                        except BadArchive as e:
                             if strict:
                                 raise
                             row = {"error": str(e)}

@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import time
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -67,6 +70,43 @@ def test_dictionary_comes_from_the_leading_frame(spark):
     whole = archive(record(b"sample 5 text 35" * 9), record(b""), dictionary=dictionary)
     assert warc.take_dictionary(whole)[0] == dictionary
     assert [warc.parse_record(r)["payload"] for _, r in warc.frames(whole)] == [b"sample 5 text 35" * 9, b""]
-    for cut in (6, 40, len(whole) - 3):
-        with pytest.raises((warc.BadArchive, zstandard.ZstdError)):
-            list(warc.frames(whole[:cut] if cut > 8 else whole[:8] + b"xx"))
+    for damaged in (whole[:6], whole[:40], whole[: len(whole) - 3], whole[:8] + b"xx", whole[:20] + bytes(40) + whole[60:], whole + warc.dictionary_frame(b"")[:5], whole + b"\x50\x2a\x4d\x18\xff\xff\x00\x00"):
+        with pytest.raises(warc.BadArchive):
+            list(warc.frames(damaged))
+        df = spark.createDataFrame([("f", damaged)], "path string, content binary")
+        assert warc.read_archives(df, strict=False).collect()[-1].error
+
+
+def plain_record(kind, block, content_type="text/plain", **more):
+    headers = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:0a1b2c3d-0000-4000-8000-000000000001>", "WARC-Date": "2024-05-01T00:00:00Z", "Content-Type": content_type, **more, "Content-Length": str(len(block))}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark):
+    body = b"hello world"
+    http = "application/http; msgtype=response"
+    sha = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        plain_record("warcinfo", b"software: x\r\n", "application/warc-fields"),
+        plain_record("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "application/http; msgtype=request"),
+        plain_record("response", b"HTTP/1.1 200 OK\r\nServer: a\r\n b\r\n\r\n" + body, http, **{"WARC-Payload-Digest": sha, "WARC-Target-URI": "http://x/"}),
+        plain_record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5;a=b\r\nhello\r\n6\r\n world\r\n0\r\n\r\n", http, **{"WARC-Payload-Digest": sha}),
+        plain_record("revisit", b"", http, **{"WARC-Payload-Digest": sha, "WARC-Refers-To-Target-URI": "http://x/"}),
+        plain_record("metadata", b""),
+    ]
+    skipped = b"\x53\x2a\x4d\x18\x03\x00\x00\x00abc"
+    df = spark.createDataFrame([("f", archive(*records[:3]) + skipped + archive(*records[3:]))], "path string, content binary")
+    got = warc.read_archives(df).collect()
+    assert [(r.record_type, r.payload_bytes, r.page_id) for r in got] == [("warcinfo", 13, None), ("request", 27, None), ("response", 11, None), ("response", 11, None), ("revisit", None, None), ("metadata", 0, None)]
+    assert got[2].payload == got[3].payload == body and got[2].url == "http://x/" and got[0].record_id.startswith("<urn:uuid:")
+    for bad in (records[2].replace(b"hello", b"jello"), records[3].replace(b"5;a", b"z;a"), plain_record("response", b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\n" + body, http)):
+        with pytest.raises(warc.BadArchive):
+            warc.parse_record(bad)
+
+
+def test_long_archives_take_linear_time():
+    noise = np.random.default_rng(0).bytes(1 << 16)
+    whole = archive(*[record(noise)] * 1600)
+    began = time.perf_counter()
+    assert len(whole) > 100 << 20 and sum(1 for _ in warc.frames(whole)) == 1600
+    assert time.perf_counter() - began < 10
