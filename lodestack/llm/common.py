@@ -69,6 +69,14 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def folders_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder, committed ones only; none if it does not exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.listStatus(path) if store.exists(path) else []
+    return [f.getPath().getName() for f in found if f.isDirectory() and store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+
+
 def own_columns(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """Only the named columns, so that further ones with clashing names never meet ours."""
     return df.select(*[F.col(n) for n in names], *[F.col(old).alias(new) for new, old in renamed.items()])

@@ -3,16 +3,18 @@
 A window is 13 consecutive words. Each window is filed under the least hash of the eight 6-word runs inside it: two equal
 windows have the same one, and neighbouring windows mostly share it, so a document files under a fifth as many
 fingerprints as it has windows. The index keeps, for each fingerprint, the smallest and largest document that has it, in
-sorted immutable runs. A batch of documents becomes a run; it is merge-joined with the runs before it, which tells what
-fingerprints now lie in two documents; runs are compacted when there are several.
+sorted immutable runs, in buckets, under a manifest. A batch of documents becomes a run; it is merge-joined with the runs
+before it, bucket by bucket without a shuffle, which tells what fingerprints now lie in two documents; runs are compacted
+when there are several.
 
-Only windows under such fingerprints are verified: compared by a hash of all 13 words. Within a group of texts that are
+Only windows under such fingerprints are verified: compared by a 64-bit hash of all 13 words. Within a group of texts that are
 read together a window that a smaller document of the group has is decided at once, and only its first document goes on
 to the shuffle; so a passage in a third of all documents arrives as one row for each group, not for each document.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WordHashes, forget, grams, in_groups, materialise, read_table
+from lodestack.llm.common import WordHashes, folders_in, forget, freeing_shuffles, grams, in_groups, materialise, read_table, scratch
 
 WIDTH, INNER = 13, 6
-BATCHES = 2
+BATCHES = 4
 #: Runs that are merged into one when there are more.
 MAX_RUNS = 2
+#: Bytes of text to a bucket of the index.
+BUCKET_BYTES = 32 << 20
 #: Bytes of text whose words are hashed at once.
 CHUNK = 4 << 20
 
@@ -76,50 +80,75 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (fp, lo, hi) in the shared folder. ``append`` adds a batch and says what must be verified."""
+    """Sorted immutable runs (fp, lo, hi) in a folder of the shared store. ``append`` adds a batch and says what must be verified.
 
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs, self.runs = spark, max_runs, []
-
-    def _write(self, rows: DataFrame, name: str) -> DataFrame:
-        return materialise(rows.select("fp", "lo", "hi").sortWithinPartitions("fp"), name)
+    Every run is a table in ``buckets`` buckets of fp, one sorted file each, and so is a batch; joins of a batch with runs,
+    and of runs with one another, need no shuffle. A manifest names the runs; whoever opens the folder again goes on where
+    the last committed manifest left off, in another session too. The number of buckets is fixed when the folder is made.
+    """
 
-    def history(self) -> DataFrame | None:
-        """All runs as one: a fingerprint once."""
-        if len(self.runs) < 2:
-            return self.runs[0] if self.runs else None
-        both = self.runs[0]
-        for run in self.runs[1:]:
-            both = both.unionByName(run)
-        return both.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 8, max_runs: int = MAX_RUNS):
+        self.spark, self.max_runs, self.folder = spark, max_runs, folder or scratch(spark, "index")
+        self.buckets, self.turn, self.compactions, paths = buckets, 0, 0, []
+        known = sorted(x for x in folders_in(spark, self.folder) if x.startswith("manifest-"))
+        if known:
+            row = spark.read.schema("buckets int, runs array<string>").json(f"{self.folder}/{known[-1]}").first()
+            self.buckets, paths, self.turn = row.buckets, row.runs, int(known[-1][9:]) + 1
+        self.runs: dict[str, DataFrame] = {path: self._open(path, "fp BIGINT, lo BIGINT, hi BIGINT") for path in paths}
+
+    def _open(self, path: str, columns: str) -> DataFrame:
+        name = f"lodestack_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:12]}"
+        table = f"lodestack_{uuid.uuid4().hex}"
+        with freeing_shuffles(self.spark):
+            rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(table)
+        return path, self.spark.table(table)
+
+    def _commit(self) -> None:
+        row = self.spark.createDataFrame([(self.buckets, list(self.runs))], "buckets int, runs array<string>")
+        row.coalesce(1).write.json(f"{self.folder}/manifest-{self.turn:08d}")
+        self.turn += 1
+
+    def _with_history(self, rows: DataFrame) -> DataFrame:
+        """rows with old_lo and old_hi, the least and greatest document that any run has under fp; null if none has."""
+        los, his = [], []
+        for k, run in enumerate(self.runs.values()):
+            rows = rows.join(run.select(F.col("fp").alias(f"k{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")), F.col("fp") == F.col(f"k{k}"), "left")
+            los, his = [*los, f"lo{k}"], [*his, f"hi{k}"]
+        null = F.lit(None).cast("long")  # twice, since these functions take two columns at least
+        return rows.select("fp", "lo", "hi", F.least(null, null, *los).alias("old_lo"), F.greatest(null, null, *his).alias("old_hi"))
 
     def append(self, docs: DataFrame) -> DataFrame:
         """(doc_id, fp) of documents, new or old, whose windows under fp may occur in another document."""
-        rows = materialise(fingerprints(docs), "batch")
-        run = self._write(rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "run")
-        before = self.history()
-        if before is None:
-            shared = run.where("lo < hi").select(F.col("fp").alias("k"))
-            late = None
-        else:
-            old = before.select(F.col("fp").alias("k"), F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))
-            met = run.join(old, F.col("fp") == F.col("k"), "left").where("lo < hi OR (k IS NOT NULL AND (lo <> old_lo OR lo <> old_hi))")
-            met = materialise(met.select(F.col("fp").alias("k"), "old_lo", "old_hi"), "met")
-            shared = met.select("k")
-            # a fingerprint that one old document had alone: that document is a source now
-            late = met.where("old_lo = old_hi").select(F.col("old_lo").alias("doc_id"), F.col("k").alias("fp"))
-        hits = rows.join(shared, F.col("fp") == F.col("k")).select("doc_id", "fp")
-        hits = materialise(hits if late is None else hits.unionByName(late), "hits")
-        forget(self.spark, rows)
-        self.runs.append(run)
+        _, rows = self._write(fingerprints(docs).repartition(self.buckets, "fp"), "batch")
+        path, run = self._write(rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "run")
+        met = self._with_history(run).where("lo < hi OR lo <> old_lo OR lo <> old_hi")
+        _, met = self._write(met.select("fp", "old_lo", "old_hi"), "met")
+        # a fingerprint that one old document had alone: that document is a source now
+        late = met.where("old_lo = old_hi").select(F.col("old_lo").alias("doc_id"), "fp")
+        hits = rows.join(met.select(F.col("fp").alias("k")), F.col("fp") == F.col("k")).select("doc_id", "fp")
+        hits = materialise(hits.unionByName(late), "hits")
+        forget(self.spark, rows, met)
+        self.runs[path] = run
         if len(self.runs) > self.max_runs:
             self.compact()
+        self._commit()
         return hits
 
     def compact(self) -> None:
-        merged = self._write(self.history(), "run")
-        forget(self.spark, *self.runs)
-        self.runs = [merged]
+        """All runs become one, merged bucket by bucket; the old ones go when the manifest names the new one."""
+        (_, merged), *others = self.runs.items()
+        for _, run in others:
+            new = run.select(F.col("fp").alias("k"), F.col("lo").alias("l"), F.col("hi").alias("h"))
+            merged = merged.join(new, F.col("fp") == F.col("k"), "full").select(F.coalesce("fp", "k").alias("fp"), F.least("lo", "l").alias("lo"), F.greatest("hi", "h").alias("hi"))
+        old, (path, run) = list(self.runs.values()), self._write(merged, "run")
+        self.runs, self.compactions = {path: run}, self.compactions + 1
+        self._commit()
+        forget(self.spark, *old)
 
 
 def _runs(under: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -128,8 +157,8 @@ def _runs(under: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], (np.diff(at) != 1) | (fps[1:] != fps[:-1])))
 
 
-def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+def _lists(offsets: np.ndarray, values: np.ndarray, kind: type = np.int32) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(kind)))
 
 
 def _later(fp: np.ndarray, w: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -143,13 +172,13 @@ def _later(fp: np.ndarray, w: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-WINDOWS = "fp long, doc_id long, tid long, at array<int>, w array<int>"
+WINDOWS = "fp long, doc_id long, tid long, at array<int>, w array<long>"
 
 
 def _windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """Windows to compare: (fp, doc_id, tid, at, w), a row for each stretch of windows under one fingerprint.
 
-    at: where they start; w: 32 bits of the hash of each; with the fingerprint, 96 bits tell windows apart. Rows with a
+    at: where they start; w: a 64-bit hash of all words of each, which with the fingerprint tells windows apart. Rows with a
     null fp need no comparing: a smaller document of the same group of texts has those windows.
     """
     wanted = hits.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
@@ -164,7 +193,7 @@ def _windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 under = filed_under(words)
                 at = np.flatnonzero(np.isin(under, fps.values.to_numpy(zero_copy_only=False).view(np.uint64)))
                 if len(at):
-                    w = (grams(words, WIDTH)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    w = grams(words, WIDTH)[at].view(np.int64)
                     parts.append((under[at], w, np.full(len(at), d, np.int64), np.full(len(at), tid.as_py(), np.int64), at, _runs(under, at)))
             if parts:
                 fp, w, doc, tid, at, begins = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -176,7 +205,7 @@ def _windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
                         starts = np.flatnonzero(new)
                         ends = np.concatenate((starts, [int(part.sum())]))
                         keys = pa.array(fp[part][starts].view(np.int64)) if part is not settled else pa.nulls(len(starts), pa.int64())
-                        yield pa.RecordBatch.from_arrays([keys, pa.array(doc[part][starts]), pa.array(tid[part][starts]), _lists(ends, at[part]), _lists(ends, w[part]) if part is not settled else pa.nulls(len(starts), pa.list_(pa.int32()))], ["fp", "doc_id", "tid", "at", "w"])
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(doc[part][starts]), pa.array(tid[part][starts]), _lists(ends, at[part]), _lists(ends, w[part], np.int64) if part is not settled else pa.nulls(len(starts), pa.list_(pa.int64()))], ["fp", "doc_id", "tid", "at", "w"])
 
     return joined.mapInArrow(run, WINDOWS)
 
@@ -188,7 +217,7 @@ def _compared(windows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
+        carried = [np.empty(0, np.int64)] * 3
         for batch in batches:
             lists = batch.column(3)
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -257,8 +286,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
-    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    index, hits = FingerprintIndex(spark, max_runs), None
+    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size")).first()
+    index, hits = FingerprintIndex(spark, buckets=max(8, -(-ends.size // BUCKET_BYTES)), max_runs=max_runs), None
     if ends.lo is not None:
         span = ends.hi - ends.lo + 1
         cuts = [ends.lo + span * k // batches for k in range(batches + 1)]
@@ -272,6 +301,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Null and empty texts: no words, nothing removed, the digest of nothing; repeated rows do not count
+    against each other; a null doc_id is kept whole; very long texts are taken whole; an empty table gives an empty result."""
     found = remove_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -80,3 +80,42 @@ def test_grams_tell_order_and_count(n):
     assert len(found) == 39 - n + 1 == len(set(found.tolist()))
     assert common.grams(words[5 : 5 + n], n)[0] == found[5]
     assert len(common.grams(words[: n - 1], n)) == 0
+
+
+def test_index_goes_on_in_another_session(spark, tmp_path):
+    rows = [r for r in sample(8) if r[0] is not None]
+    folder = f"file://{tmp_path}/lodestack/index"
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "xxhash64(text) AS tid")
+    hits = []
+    for turn in range(4):
+        session = spark.newSession()
+        index = substrings.FingerprintIndex(session, folder, max_runs=2)
+        assert len(index.runs) == (0, 1, 2, 1)[turn]
+        part = spark.createDataFrame([r for r in rows if r[0] % 4 == turn], SCHEMA)
+        hits.append(index.append(session.createDataFrame(part.toPandas(), SCHEMA)))
+        assert index.compactions == (turn == 2)
+    both = [tuple(r) for h in hits for r in h.collect()]
+    hits = spark.createDataFrame(both, "doc_id long, fp long")
+    got = substrings.deduplicated(df, substrings.repeated_windows(df, hits))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_runs_are_joined_without_a_shuffle(spark):
+    index = substrings.FingerprintIndex(spark, max_runs=3)
+    for k in range(3):
+        index.append(spark.createDataFrame([(10 * k + i, f"w{i} " * 40, "", 0) for i in range(5)], SCHEMA))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = index._with_history(next(iter(index.runs.values())))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
+
+
+def test_the_query_compacts(spark, monkeypatch):
+    made = []
+    compact = substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (made.append(len(self.runs)), compact(self)))
+    rows = sample(2)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows) and made == [3]
