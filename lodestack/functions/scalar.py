@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Our own: the first four bytes of a sealed parity shard.
+PARITY_MAGIC = b"LSP1"
 #: The first four bytes of an encrypted chunk, manifest and wrapped key.
 CHUNK_MAGIC, MANIFEST_MAGIC, KEY_MAGIC = b"CSE1", b"CSM1", b"CSK1"
 GZIP_MAGIC = b"\x1f\x8b"

@@ -160,9 +160,13 @@ def lookup(ids: DataFrame, stripe_index: DataFrame) -> DataFrame:
 
 def unreadable(stripes: DataFrame, members: DataFrame, key: str = "stripe_id") -> DataFrame:
     """(key, row, ok): whether each parity shard equals what its members encode to. members: (key, slot, chunk_id, payload)."""
-    row = stripes.select(key, "k", "r").first()
-    if row is None:
+    shapes = [(r.k, r.r) for r in stripes.select("k", "r").distinct().collect()]  # one or two: those of the settings
+    if not shapes:
         return stripes.select(key, F.lit(0).alias("row"), F.lit(True).alias("ok")).limit(0)
-    fresh = encode(members, row.k, row.r, [key]).select(F.col(key).alias("f"), F.posexplode("parity").alias("row", "want"))
+    fresh = None
+    for k, r in shapes:
+        own = stripes.where((F.col("k") == k) & (F.col("r") == r)).select(F.col(key).alias("s"))
+        some = encode(members.join(own, F.col(key) == F.col("s"), "left_semi"), k, r, [key]).select(F.col(key).alias("f"), F.posexplode("parity").alias("row", "want"))
+        fresh = some if fresh is None else fresh.unionByName(some)
     stored = stripes.select(key, F.posexplode("parity").alias("stored_row", "shard"))
     return stored.join(fresh, (F.col(key) == F.col("f")) & (F.col("stored_row") == F.col("row")), "left").select(key, F.col("stored_row").alias("row"), F.coalesce(F.col("shard") == F.col("want"), F.lit(False)).alias("ok"))

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack import schemas
-from lodestack.functions.scalar import next_pow2
+from lodestack.functions.scalar import MANIFEST_MAGIC, PARITY_MAGIC, next_pow2, seal, try_unseal, unseal
 from lodestack.operators import chunking, dedupe, index, inventory, manifest, parity, restore, verify
 from lodestack.sources import sinks
 
-DEFAULTS = {"rs_k": 8, "rs_r": 2, "least": 256 << 10, "average": 1 << 20, "most": 4 << 20, "window": 64, "algorithm": "fast", "compress": False, "encrypt": False}
-_SETTINGS = "repo_id string, repo_name string, drive_id string, drive_ord int, label string, rs_k int, rs_r int, least int, average int, most int, window int, algorithm string, compress boolean, encrypt boolean"
+DEFAULTS = {"rs_k": 8, "rs_r": 2, "least": 256 << 10, "average": 1 << 20, "most": 4 << 20, "window": 64, "algorithm": "fast", "compress": False, "encrypt": False, "encrypt_manifest": True}
+_SETTINGS = "repo_id string, repo_name string, drive_id string, drive_ord int, label string, rs_k int, rs_r int, least int, average int, most int, window int, algorithm string, compress boolean, encrypt boolean, encrypt_manifest boolean"
 
 
 class Repo:
-    """One drive of a repository. Opening one that does not exist is an error; ``create`` makes it."""
+    """One drive of a repository. Opening one that does not exist is an error; ``create`` makes it.
+
+    With ``encrypt`` chunks and parity are sealed, and so is every row of a manifest unless ``encrypt_manifest`` is off.
+    """
 
     def __init__(self, spark: SparkSession, root: str, key: bytes | None = None):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
@@ -56,11 +59,25 @@ class Repo:
 
     @property
     def manifests(self) -> DataFrame:
-        return self._table("manifests", f"{schemas.MANIFEST}, complete BOOLEAN, snapshot STRING").withColumn("drive_ord", F.lit(self.settings.drive_ord))
+        if self._sealed_manifests:
+            rows = self._table("manifests_sealed", "content BINARY, snapshot STRING")
+            opened = F.from_json(unseal("content", self.key, MANIFEST_MAGIC).cast("string"), _TREE)
+            tree = rows.select(opened.alias("x"), "snapshot").select("x.*", "snapshot")
+        else:
+            tree = self._table("manifests", f"{_TREE}, snapshot STRING")
+        return tree.withColumn("drive_ord", F.lit(self.settings.drive_ord))
+
+    @property
+    def _sealed_manifests(self) -> bool:
+        return bool(self.settings.encrypt and self.settings.encrypt_manifest)
 
     @property
     def stripes(self) -> DataFrame:
-        return self._table("stripes", schemas.STRIPES)
+        """Parity in clear; a shard that does not open is null, which is a lost one."""
+        rows = self._table("stripes", schemas.STRIPES)
+        if self.settings.encrypt:
+            rows = rows.withColumn("parity", F.transform("parity", lambda p: try_unseal(p, self.key, PARITY_MAGIC)))
+        return rows
 
     @property
     def params(self) -> chunking.Params:
@@ -100,11 +117,20 @@ class Repo:
         sinks.append_chunks(verify.encode_payload(payloads, self.settings.compress, self.key if self.settings.encrypt else None), f"{self.root}/chunks")
         rows = manifest.build(state, complete=F.col("whole"))
         empty = files.where(F.coalesce(F.octet_length("content"), F.lit(0)) == 0).select("path", F.lit(0).cast("long").alias("bytes"), F.array().cast("array<string>").alias("chunks"), F.lit(True).alias("complete"))
-        sinks.write_manifest(rows.unionByName(empty), f"{self.root}/manifests", snapshot)
+        rows = rows.unionByName(empty)
+        if self._sealed_manifests:
+            line = F.to_json(F.struct("path", "bytes", "chunks", "complete"))
+            sinks.write_manifest(rows.select(seal(line, self.key, MANIFEST_MAGIC).alias("content")), f"{self.root}/manifests_sealed", snapshot)
+        else:
+            sinks.write_manifest(rows, f"{self.root}/manifests", snapshot)
         return dedupe.totals(state, F.col("is_new"))
 
-    def payloads(self, strict: bool = True) -> DataFrame:
-        return verify.decode_payload(self.chunks, self.key, strict)
+    def payloads(self, strict: bool = True, ids: DataFrame | None = None) -> DataFrame:
+        """Raw payloads; ids (chunk_id): of these only, which is decided before any payload moves."""
+        rows = self.chunks
+        if ids is not None:
+            rows = rows.join(ids.select(F.col("chunk_id").alias("i")), F.col("chunk_id") == F.col("i"), "left_semi")
+        return verify.decode_payload(rows, self.key, strict)
 
     def verify(self) -> DataFrame:
         """One status per chunk; ``verify.summary`` counts them."""
@@ -117,9 +143,19 @@ class Repo:
         assigned = parity.assign_across_files(backlog, self.settings.rs_k, ["chunk_id"], parity.next_stripe(self.stripes))
         full, waiting = parity.split_pending(assigned, self.settings.rs_k, finalize)
         data = full.join(self.payloads().select(F.col("chunk_id").alias("c"), "payload"), F.col("chunk_id") == F.col("c")).select("stripe_id", F.col("pos").alias("slot"), "chunk_id", "payload")
-        parity.encode(data, self.settings.rs_k, self.settings.rs_r, ["stripe_id"]).write.mode("append").parquet(f"{self.root}/stripes")
+        stripes = parity.encode(data, self.settings.rs_k, self.settings.rs_r, ["stripe_id"])
+        if self.settings.encrypt:
+            stripes = stripes.withColumn("parity", F.transform("parity", lambda p: seal(p, self.key, PARITY_MAGIC)))
+        stripes.write.mode("append").parquet(f"{self.root}/stripes")
         return waiting
 
+    def verify_parity(self) -> DataFrame:
+        """(stripe_id, row, ok): whether each stored shard opens and equals what its chunks encode to."""
+        stripes = self.stripes
+        slots = stripes.select("stripe_id", F.posexplode("chunks").alias("slot", "chunk_id")).where("chunk_id IS NOT NULL")
+        rows = self.payloads(strict=False, ids=slots).select(F.col("chunk_id").alias("c"), "payload")
+        return parity.unreadable(stripes, slots.join(rows, F.col("chunk_id") == F.col("c")).drop("c").where("payload IS NOT NULL"))
+
     def inventory(self, bits_per_element: int = 10) -> tuple[DataFrame, int, int]:
         """(filter rows, m_bits, k) of this drive."""
         rows = self.catalog.withColumn("drive_ord", F.lit(self.settings.drive_ord))
@@ -133,11 +169,17 @@ def _by_path():
     return Window.partitionBy("path")
 
 
-def restore_files(repos: list[Repo], snapshot: str | None = None, only_file: str | None = None, only_prefix: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, missing chunks) of a snapshot, or of the union of the latest ones; earlier drives in the list come first.
+_TREE = f"{schemas.MANIFEST}, complete BOOLEAN"
+
 
-    With missing chunks, pass more drives and call again: the result depends on the list alone.
+def restore_files(repos: list[Repo], snapshot: str | None = None, only_file: str | None = None, only_prefix: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, missing chunks, refused) of a snapshot, or of the union of the latest ones; earlier drives in the list come first.
+
+    With missing chunks, pass more drives and call again: the result depends on the list alone. refused (path, bytes,
+    reason): files that a cap cut short when they were backed up, and files whose size is not the recorded one; they are
+    never handed out. A drive that is passed twice counts once. Drives are chosen by ids, before any payload is read.
     """
+    repos = list({r.settings.drive_id: r for r in reversed(repos)}.values())[::-1]
     trees = repos[0].manifests.withColumn("drive_rank", F.lit(0))
     for rank, repo in enumerate(repos[1:], 1):
         trees = trees.unionByName(repo.manifests.withColumn("drive_rank", F.lit(rank)))
@@ -147,20 +189,38 @@ def restore_files(repos: list[Repo], snapshot: str | None = None, only_file: str
         named = trees.where(F.col("snapshot") == snapshot)
         owner = named.select(F.min("drive_rank").alias("owner"))
         tree = named.join(owner, F.col("drive_rank") == F.col("owner"))
-    tree = manifest.selected(tree, only_file, only_prefix)
-    refs = manifest.references(tree.select("path", "chunks"))
-    stored = stripes = None
+    tree = manifest.selected(tree, only_file, only_prefix).select("path", "bytes", "chunks", F.coalesce("complete", F.lit(True)).alias("complete"))
+    whole = tree.where("complete")
+    refs = manifest.references(whole.select("path", "chunks"))
+    ids = stripes = None
     for rank, repo in enumerate(repos):
-        rows = repo.payloads().select("chunk_id", "payload", F.lit(rank).alias("drive_rank"))
-        stored = rows if stored is None else stored.unionByName(rows)
+        rows = repo.catalog.select("chunk_id", F.lit(rank).alias("drive_rank"))
+        ids = rows if ids is None else ids.unionByName(rows)
         group = repo.stripes.withColumn("stripe_id", F.concat_ws(":", F.lit(str(rank)), F.col("stripe_id").cast("string")))
         stripes = group if stripes is None else stripes.unionByName(group)
-    first = restore.first_attached(stored)
-    lost = restore.unavailable(refs, first).select("chunk_id")
-    repaired = parity.repair(stripes, first.select("chunk_id", "payload"), lost).dropDuplicates(["chunk_id"])
-    located = restore.located(refs, first, [repaired])
-    empty = tree.where(F.size("chunks") == 0).select("path", F.lit(bytearray()).alias("content"))
-    return restore.reassemble(located).unionByName(empty), restore.missing(located)
+    lost = restore.unavailable(refs, ids).select("chunk_id").distinct()
+    slots = stripes.select("stripe_id", F.explode("chunks").alias("chunk_id")).where("chunk_id IS NOT NULL")
+    touched = slots.join(lost, "chunk_id", "left_semi").select("stripe_id").distinct()
+    siblings = slots.join(touched, "stripe_id", "left_semi").select("chunk_id")
+    repaired = parity.repair(stripes, _fetched(repos, ids, siblings), lost).dropDuplicates(["chunk_id"])
+    located = restore.located(refs, _fetched(repos, ids, refs), [repaired])
+    empty = whole.where(F.size("chunks") == 0).select("path", F.lit(bytearray()).alias("content"))
+    made = restore.reassemble(located).unionByName(empty)
+    sized = made.join(whole.select(F.col("path").alias("p"), "bytes"), F.col("path") == F.col("p"))
+    fits = restore.size_matches(F.col("content"), F.col("bytes"))
+    refused = tree.where("NOT complete").select("path", "bytes", F.lit("cut short by the cap").alias("reason"))
+    refused = refused.unionByName(sized.where(~fits).select("path", "bytes", F.lit("another size than recorded").alias("reason")))
+    return sized.where(fits).select("path", "content"), restore.missing(located), refused
+
+
+def _fetched(repos: list[Repo], ids: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(chunk_id, payload) of wanted chunks, each from the first drive that has it."""
+    first = ids.join(wanted.select(F.col("chunk_id").alias("w")).distinct(), F.col("chunk_id") == F.col("w"), "left_semi").groupBy("chunk_id").agg(F.min("drive_rank").alias("drive_rank"))
+    out = None
+    for rank, repo in enumerate(repos):
+        rows = repo.payloads(ids=first.where(F.col("drive_rank") == rank)).select("chunk_id", "payload")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def restore_plan(tree: DataFrame, run: DataFrame, delta: DataFrame, drives: DataFrame, only_file: str | None = None, only_prefix: str | None = None, max_drives: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -127,8 +127,11 @@ def number(text: str) -> int:
     return int(text.replace("_", ""))
 
 
-def inventories(spark: SparkSession, path: str) -> DataFrame:
-    """Bloom filter files: big-endian header, four length-prefixed strings, counts, then the bits. Another magic is an error."""
+def inventories(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
+    """Bloom filter files: big-endian header, four length-prefixed strings, counts, then the bits. Another magic is an error.
+
+    repo_id: those of one repository only.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.inv").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +142,8 @@ def inventories(spark: SparkSession, path: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    return found.mapInArrow(run, schemas.INVENTORY).withColumn("created_at", F.timestamp_seconds("created_at"))
+    rows = found.mapInArrow(run, schemas.INVENTORY).withColumn("created_at", F.timestamp_seconds("created_at"))
+    return rows if repo_id is None else rows.where(F.col("repo_id") == repo_id)
 
 
 def parse_inventory(content: bytes, name: str = "") -> tuple:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.operators import index, manifest, restore, verify
 from lodestack.plans import repo as plans
@@ -36,11 +37,11 @@ def test_backup_restore_and_increment(spark, tmp_path):
     third = repo.backup(frame(spark, changed), "S3").first()
     assert 0 < third.new_chunks < one.new_chunks
     for name, want in (("S1", files), ("S2", files), ("S3", changed)):
-        got, missing = plans.restore_files([repo], name)
+        got, missing, refused = plans.restore_files([repo], name)
         assert contents(got) == want and missing.collect() == []
-    got, _ = plans.restore_files([repo], "S3", only_prefix="d1/")
+    got, _, _ = plans.restore_files([repo], "S3", only_prefix="d1/")
     assert contents(got) == {p: c for p, c in changed.items() if p.startswith("d1/")}
-    got, _ = plans.restore_files([repo], "S3", only_file="new")
+    got, _, _ = plans.restore_files([repo], "S3", only_file="new")
     assert contents(got) == {"new": b"n" * 700}
     assert [r.snapshot for r in repo.snapshots().collect()] == ["S1", "S2", "S3"]
     found = verify.summary(repo.verify()).first()
@@ -63,11 +64,11 @@ def test_two_drives_missing_chunks_and_union(spark, tmp_path):
     more = {**files, "late": random.Random(9).randbytes(4000)}
     counts = second.backup(frame(spark, more), "S2", located=first.catalog).first()
     assert counts.reused_chunks > 0
-    got, missing = plans.restore_files([second], "S2")
+    got, missing, refused = plans.restore_files([second], "S2")
     assert missing.count() > 0 and set(contents(got)) < set(more)
-    got, missing = plans.restore_files([second, first], "S2")
+    got, missing, refused = plans.restore_files([second, first], "S2")
     assert contents(got) == more and missing.collect() == []
-    got, _ = plans.restore_files([first, second])
+    got, _, _ = plans.restore_files([first, second])
     assert contents(got) == more
     run = first.catalog.selectExpr("chunk_id", "0 AS drive_ord").unionByName(second.catalog.selectExpr("chunk_id", "1 AS drive_ord"))
     drives = spark.createDataFrame([(0, "id0", "A"), (1, "id1", None)], "drive_ord int, drive_id string, label string")
@@ -89,6 +90,33 @@ def test_cap_leaves_an_incomplete_file(spark, tmp_path):
     rows = {r.path: r for r in repo.manifests.collect()}
     assert set(rows) == {"f0", "f1", "f2"} and [rows[p].complete for p in sorted(rows)] == [True, True, False]
     assert rows["f2"].bytes < 3000
+    got, missing, refused = plans.restore_files([repo, Repo(spark, repo.root)], "S1")
+    assert contents(got) == {p: files[p] for p in ("f0", "f1")} and missing.collect() == []
+    assert [(r.path, r.reason) for r in refused.collect()] == [("f2", "cut short by the cap")]
+
+
+def test_an_encrypted_repository_holds_no_plaintext(spark, tmp_path):
+    rng = random.Random(3)
+    secret, name = rng.randbytes(300), rng.randbytes(12).hex()
+    repo = Repo.create(spark, str(tmp_path / "r"), "name", **SMALL, encrypt=True, key=KEY)
+    repo.backup(frame(spark, {name: secret, "other": rng.randbytes(2000)}), "S1")
+    assert repo.add_parity(finalize=True).count() == 0
+    stored = b"".join(p.read_bytes() for p in (tmp_path / "r").rglob("*") if p.is_file())
+    assert secret[:40] not in stored and secret[100:140] not in stored and name.encode() not in stored
+    got, missing, refused = plans.restore_files([repo], "S1")
+    assert contents(got)[name] == secret and missing.collect() == refused.collect() == []
+    assert {r.ok for r in repo.verify_parity().collect()} == {True}
+    assert {r.ok for r in Repo(spark, repo.root, KEY[::-1]).verify_parity().collect()} == {False}
+    # a chunk that is gone comes back from sealed parity
+    victim = repo.catalog.first().chunk_id
+    import shutil
+
+    kept = repo.chunks.where(F.col("chunk_id") != victim)
+    kept.withColumn("fan", F.substring("chunk_id", 1, 2)).write.partitionBy("fan").parquet(str(tmp_path / "kept"))
+    shutil.rmtree(tmp_path / "r" / "chunks")
+    shutil.move(tmp_path / "kept", tmp_path / "r" / "chunks")
+    got, missing, _ = plans.restore_files([Repo(spark, repo.root, KEY)], "S1")
+    assert contents(got)[name] == secret and len(contents(got)) == 2 and missing.collect() == []
 
 
 def test_lost_chunks_come_back_from_parity(spark, tmp_path):
