@@ -8,10 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack import schemas
 from lodestack.functions import scalar
 from lodestack.operators import chunking, dedupe, index, inventory, manifest, parity, restore, verify
 from lodestack.plans import fixtures as fx
 from lodestack.plans.fixtures import K, R
+from lodestack.plans.repo import Repo, restore_files
+from lodestack.session import shared
+from lodestack.sources import readers, sinks
 
 KEY = bytes(range(32))
 M_BITS, HASHES = 1 << 20, 4
@@ -502,6 +506,111 @@ def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", scalar.parse_number(text).alias("n"))
 
 
+# ---- stored formats: written to the shared folder and read back
+
+
+@query("SELECT chunk_id, raw_size::BIGINT AS stored_size FROM c")
+def catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared(spark, "catalog")
+    sinks.catalog_lines(fx.ids(spark, sf_dir).withColumnRenamed("raw_size", "stored_size")).write.text(folder)
+    return readers.catalog(spark, folder)
+
+
+@query("SELECT count(*) AS entries FROM c")
+def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared(spark, "catalog")
+    sinks.catalog_lines(fx.ids(spark, sf_dir).withColumnRenamed("raw_size", "stored_size")).write.text(folder)
+    return readers.catalog_rows(spark, folder)
+
+
+@query(f"SELECT chunk_id, n // {K} AS stripe_id, (n % {K})::INTEGER AS pos FROM st")
+def stripe_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared(spark, "stripe-index")
+    sinks.stripe_index_lines(stripe_assign_xfile(spark, sf_dir)).write.text(folder)
+    return readers.stripe_index(spark, folder).drop("line_no")
+
+
+@query("SELECT chunk_id, drive_ord FROM delta")
+def index_delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared(spark, "delta")
+    sinks.index_delta_lines(fx.run_and_delta(spark, sf_dir)[1]).write.text(folder)
+    return readers.index_delta(spark, folder).drop("line_no")
+
+
+_TREE = "SELECT path, sum(raw_size)::BIGINT AS bytes, sha256(string_agg(chunk_id, ',' ORDER BY pos)) AS chunks_sha256, 'S1' AS snapshot FROM c GROUP BY path"
+
+
+def _digested(tree: DataFrame) -> DataFrame:
+    return tree.select("path", "bytes", F.sha2(F.array_join("chunks", ","), 256).alias("chunks_sha256"), "snapshot")
+
+
+@query(_TREE)
+def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared(spark, "manifests")
+    sinks.text_file(sinks.manifest_lines(manifest.build(fx.ids(spark, sf_dir))), f"{folder}/S1.jsonl")
+    return _digested(readers.manifests(spark, folder))
+
+
+@query(_TREE)
+def manifest_sealed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows sealed one by one, as an encrypted repository keeps them."""
+    folder = shared(spark, "sealed")
+    line = F.to_json(F.struct("path", "bytes", "chunks"))
+    sinks.write_manifest(manifest.build(fx.ids(spark, sf_dir)).select(scalar.seal(line, KEY, scalar.MANIFEST_MAGIC).alias("content")), folder, "S1")
+    opened = F.from_json(scalar.unseal("content", KEY, scalar.MANIFEST_MAGIC).cast("string"), schemas.MANIFEST)
+    return _digested(spark.read.schema("content binary, snapshot string").parquet(folder).select(opened.alias("x"), "snapshot").select("x.*", "snapshot"))
+
+
+@query("SELECT path, 'F' AS mode, sum(raw_size)::BIGINT AS bytes, sha256(string_agg(chunk_id || ':' || raw_size, ',' ORDER BY pos)) AS chunks_sha256, 'S1' AS snapshot FROM c GROUP BY path")
+def line_manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared(spark, "lines")
+    ids = fx.ids(spark, sf_dir)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("chunk_id").alias("id"), F.col("raw_size").cast("long").alias("size")))), lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size")))
+    tree = ids.groupBy("path").agg(F.lit("F").alias("mode"), F.sum("raw_size").cast("long").alias("bytes"), ordered.alias("chunks"))
+    sinks.text_file(sinks.line_manifest(tree, "S1", "2025-01-01", "host", "k=8", "lines"), f"{folder}/S1.manifest")
+    text = F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["id"], c["size"].cast("string"))), ",")
+    return readers.line_manifests(spark, folder).select("path", "mode", "bytes", F.sha2(text, 256).alias("chunks_sha256"), "snapshot")
+
+
+def _repo(spark: SparkSession, sf_dir: str, **params) -> tuple:
+    p = SIZES["fast"]
+    repo = Repo.create(spark, shared(spark, "repo"), "documents", least=p.least, average=p.average, most=p.most, rs_k=K, rs_r=R, **params)
+    return repo, fx.files(spark, sf_dir).select("path", "content")
+
+
+@query("SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, sha256(text) AS sha256 FROM documents")
+def repo_backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """init, backup, and restore of the latest snapshot."""
+    repo, files = _repo(spark, sf_dir, compress=True)
+    repo.backup(files, "S1")
+    return restore_files([repo])[0].select("path", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, sha256(text) AS sha256 FROM documents WHERE strlen(text) > 0")
+def parity_sealed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An encrypted repository that has lost one chunk of each stripe: sealed parity gives them back."""
+    repo, files = _repo(spark, sf_dir, encrypt=True, key=KEY)
+    repo.backup(files, "S1")
+    repo.add_parity(finalize=True)
+    lost = repo.stripes.select(F.element_at(F.filter("chunks", lambda c: c.isNotNull()), -1).alias("chunk_id"))
+    kept = repo.payloads().select("chunk_id", "payload").join(lost.select(F.col("chunk_id").alias("l")), F.col("chunk_id") == F.col("l"), "left_anti")
+    refs = manifest.references(repo.manifests.select("path", "chunks"))
+    located = restore.located(refs, kept, [parity.repair(repo.stripes, kept, lost)])
+    return restore.reassemble(located).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT 0::BIGINT AS wrong, 0::BIGINT AS unaccounted, 1::BIGINT AS refused")
+def restore_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backup under a cap cuts one file short: it is refused, and every other file of the snapshot is what it was."""
+    repo, files = _repo(spark, sf_dir)
+    repo.backup(files, "S1", cap=CAP)
+    made, _, refused = restore_files([repo], "S1")
+    were = files.select(F.col("path").alias("p"), F.sha2("content", 256).alias("was"))
+    seen = repo.manifests.select("path").join(refused.select(F.col("path").alias("r")), F.col("path") == F.col("r"), "left")
+    seen = seen.join(made.select(F.col("path").alias("m"), F.sha2("content", 256).alias("now")), F.col("path") == F.col("m"), "left").join(were, F.col("path") == F.col("p"))
+    return seen.agg(F.count_if(F.col("now") != F.col("was")).alias("wrong"), F.count_if(F.col("m").isNull() & F.col("r").isNull()).alias("unaccounted"), F.count("r").alias("refused"))
+
+
 # ---- verification
 
 

@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one that the session names; where it names none, a local one on a single machine only."""
+    folder = spark.conf.get(CHECKPOINT, None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT} to a folder that the driver and all executors share")
+    return f"{(folder or 'file://' + tempfile.mkdtemp(prefix='lodestack-')).rstrip('/')}/lodestack/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder that the session names; where it names none, one is set on a single machine only."""
     spark: SparkSession = df.sparkSession

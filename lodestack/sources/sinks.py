@@ -45,6 +45,24 @@ def stripe_index_lines(assigned: DataFrame) -> DataFrame:
     return assigned.select(F.concat_ws("\t", "chunk_id", F.col("stripe_id").cast("string"), F.col("pos").cast("string")).alias("value"))
 
 
+def index_delta_lines(rows: DataFrame) -> DataFrame:
+    """(value): lines to append to an index delta, from (chunk_id, drive_ord)."""
+    return rows.select(F.concat_ws("\t", "chunk_id", F.col("drive_ord").cast("string")).alias("value"))
+
+
+def text_file(lines: DataFrame, path: str) -> None:
+    """Ordered lines as one file of that name: written whole beside it, then renamed."""
+    lines.coalesce(1).write.text(f"{path}.tmp")
+    spark = lines.sparkSession
+    jvm = spark.sparkContext._jvm
+    parent = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    store = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in store.listStatus(parent) if f.getPath().getName().startswith("part-"))
+    if not store.rename(part, jvm.org.apache.hadoop.fs.Path(path)):
+        raise FileExistsError(path)
+    store.delete(parent, True)
+
+
 def index_records(run: DataFrame) -> DataFrame:
     """(record): 33 bytes each, in order of the id."""
     return run.orderBy("chunk_id").select(F.concat(F.unhex("chunk_id"), F.unhex(F.lpad(F.hex("drive_ord"), 2, "0"))).alias("record"))
