@@ -22,20 +22,38 @@ from lodestack.llm.common import materialise, read_table
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPL-1.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("Proprietary", "All rights reserved."),
 )
-RESERVED = "Proprietary"
+#: What tells licences of near wording apart: terms that a line must have, and terms that it must not have.
+NEEDS = {"GPL-2.0": "2", "GPL-3.0": "3", "AGPL-3.0": "affero", "LGPL-2.1": "lesser 2", "LGPL-3.0": "lesser 3", "MPL-2.0": "mozilla", "CC-BY-NC-ND-4.0": "cc nc nd", "CC-BY-NC-SA-4.0": "cc nc sa", "CC-BY-NC-4.0": "cc nc", "CC-BY-ND-4.0": "cc nd", "CC-BY-SA-4.0": "cc sa", "CC-BY-4.0": "cc"}
+LACKS = {"GPL-1.0-or-later": "lesser library affero", "GPL-2.0": "lesser library affero 3", "GPL-3.0": "lesser library affero 2", "CC-BY-NC-4.0": "nd sa", "CC-BY-ND-4.0": "nc", "CC-BY-SA-4.0": "nc", "CC-BY-4.0": "nc nd sa", "Proprietary": "not no some"}
+#: A tag that names its licence outright.
+TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
+#: Names without a version, and reserved rights in a licence file, count only if nothing else matches.
+RESERVED, GENERIC = "Proprietary", "GPL-1.0-or-later"
 THRESHOLD = 0.6
 #: A file whose licence lines make up this share of its bytes, or that has such a name, speaks for its directory.
 FILE_SHARE = 0.5
@@ -93,13 +111,34 @@ def _enough(weights: Weights, threshold: float) -> Column:
     return F.aggregate(_terms("line"), zeros, lambda held, t: F.zip_with(held, F.coalesce(F.try_element_at(vectors, t), other), lambda a, b: a + b), lambda held: F.array_max(F.slice(held, 2, len(weights.unit))) >= threshold * 0.999 * F.sqrt(held[0]))
 
 
+def _told(name: str) -> Column:
+    """Whether a line has the terms that the licence needs and none that speak against it, from columns h_term."""
+    out = F.lit(True)
+    for t in NEEDS.get(name, "").split():
+        out = out & F.col(f"h_{t}")
+    for t in LACKS.get(name, "").split():
+        out = out & ~F.col(f"h_{t}")
+    return out
+
+
+def tagged_lines(files: DataFrame) -> DataFrame:
+    """The same for lines with a tag, whose licence is what the tag says: score 1, template -1."""
+    lines = files.where(F.contains("text", F.lit("SPDX-License-Identifier:"))).select("path", "tid", F.octet_length("text").alias("bytes"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    found = lines.withColumn("license", F.regexp_extract("line", TAG, 1)).where("license <> ''")
+    return found.select("path", "tid", "bytes", "line_no", F.octet_length("line").alias("line_bytes"), F.lit(1.0).alias("score"), F.lit(-1).alias("template"), "license")
+
+
 def scored_lines(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """(path, tid, bytes, line_no, line_bytes, score, template): lines that reach the threshold with their best template."""
     spark = files.sparkSession
+    telling = sorted({t for text in (*NEEDS.values(), *LACKS.values()) for t in text.split()})
     has_trigger = rf"(?i)(?<![a-z0-9])({'|'.join(weights.triggers)})(?![a-z0-9])"
     whole = F.col("path").rlike(FILE_NAMES)
-    # a licence file is one unit, whatever its lines, and each of its lines is another: a full text is far longer than a template
-    units = F.when(whole, F.concat(F.array("text"), F.split("text", "\n"))).otherwise(F.split("text", "\n"))
+    # a licence file is one unit, whatever its lines, and each line and each two lines are others: a full text is far longer
+    # than a template, and its title may have the version on the next line
+    cut = F.split("text", "\n")
+    twos = F.zip_with(F.slice(cut, 1, F.size(cut) - 1), F.slice(cut, 2, F.size(cut)), lambda a, b: F.concat(a, F.lit(" "), b))
+    units = F.when(whole, F.concat(F.array("text"), cut, twos)).otherwise(cut)
     lines = files.where(F.col("text").rlike(has_trigger)).select("path", "tid", F.octet_length("text").alias("bytes"), F.posexplode(units).alias("line_no", "line")).where(F.col("line").rlike(has_trigger))
     lines = lines.where(_enough(weights, threshold))
     key = ["path", "tid", "bytes", "line_no", "line_bytes"]
@@ -107,8 +146,8 @@ def scored_lines(files: DataFrame, weights: Weights, threshold: float = THRESHOL
     rows = [(t, weights.idf[t], *[u.get(t, 0.0) for u in weights.unit]) for t in sorted(weights.idf)]
     vocabulary = spark.createDataFrame(rows, "t string, idf double, " + ", ".join(f"w{k} double" for k in range(len(weights.unit))))
     weighed = tf.join(F.broadcast(vocabulary), F.col("term") == F.col("t"), "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(weights.unknown)))
-    sums = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *[F.sum(F.col("x") * F.coalesce(f"w{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(weights.unit))])
-    best = F.greatest(*[F.struct(F.round(F.col(f"d{k}") / F.col("norm"), 9).alias("score"), F.lit(-k).alias("k")) for k in range(len(weights.unit))])
+    sums = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *[F.sum(F.col("x") * F.coalesce(f"w{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(weights.unit))], *[F.bool_or(F.col("term") == t).alias(f"h_{t}") for t in telling])
+    best = F.greatest(*[F.struct(F.when(_told(name), F.round(F.col(f"d{k}") / F.col("norm"), 9)).otherwise(0.0).alias("score"), F.lit(-k).alias("k")) for k, name in enumerate(weights.names)])
     out = sums.select(*key, best.alias("b")).where(F.col("b.score") >= threshold)
     return out.select(*key, F.col("b.score").alias("score"), (-F.col("b.k")).alias("template"))
 
@@ -127,19 +166,19 @@ def _ancestors(directory: Column) -> Column:
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``files`` (path, text): path, license, score, origin, license_path, tid.
 
-    origin: ``header`` (the best line of the file itself; equal scores: the first template, then the first line),
+    origin: ``header`` (the best line of the file itself; equal scores: a tag, the first template, then the first line),
     ``directory`` (the licence file in the nearest directory at or above the file's), or ``none``. A licence file has its
     own header, so it is of origin ``header``; as many licences reserve rights in a line of their own, ``RESERVED`` is
-    its licence only if nothing else matches. Where a directory has several licence files, the best score counts, then
+    its licence only if nothing else matches, and so is ``GENERIC`` that of any file. Where a directory has several licence files, the best score counts, then
     the least path. Null paths have headers but no directory; null and empty texts have no header but inherit. tid tells
     rows with one path and different texts apart. An empty table gives an empty result.
     """
     weights = Weights(threshold=threshold)
     own = files.select("path", "text", F.xxhash64("text").alias("tid"))
     named = F.element_at(F.array(*map(F.lit, weights.names)), F.col("template") + 1)
-    lines = materialise(scored_lines(own, weights, threshold).withColumn("license", named), "license_lines")
-    reserved = F.col("path").rlike(FILE_NAMES) & (F.col("license") == RESERVED)
-    top = F.max(F.struct(F.coalesce(~reserved, F.lit(True)).alias("named"), "score", -F.col("template"), -F.col("line_no"), "license")).alias("x")
+    lines = materialise(scored_lines(own, weights, threshold).withColumn("license", named).unionByName(tagged_lines(own)), "license_lines")
+    last = F.col("path").rlike(FILE_NAMES) & (F.col("license") == RESERVED) | (F.col("license") == GENERIC)
+    top = F.max(F.struct(F.coalesce(~last, F.lit(True)).alias("named"), "score", -F.col("template"), -F.col("line_no"), "license")).alias("x")
     headers = lines.groupBy("path", "tid", "bytes").agg(top, F.sum("line_bytes").alias("covered"))
     headers = materialise(headers.select("path", "tid", "bytes", "covered", "x.license", "x.score"), "headers")
     speaks = F.col("path").rlike(FILE_NAMES) | (F.col("covered") >= FILE_SHARE * F.col("bytes"))
@@ -166,7 +205,8 @@ def document_path() -> Column:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a file of the tree of ``document_path``."""
+    """Every document as a file of the tree of ``document_path``. Null and empty texts have no header but inherit; repeated
+    rows stay; very long texts are scanned whole; ties go to the first template, then line; an empty table gives none."""
     docs = read_table(spark, sf_dir, "documents").select(document_path().alias("path"), "text")
     found = scan(docs).drop("tid")
     return found.withColumn("doc_id", F.regexp_extract("path", r"/(-?\d+)\.txt$", 1).try_cast("long"))

@@ -15,18 +15,22 @@ def brute(rows):
     headers = {}
     for path, text, *_ in rows:
         text = text or ""
-        units = [text] if path and re.search(m.FILE_NAMES, path) else text.split("\n")
+        units, named = text.split("\n"), bool(path and re.search(m.FILE_NAMES, path))
+        if named:
+            units = [text, *units, *(f"{a} {b}" for a, b in zip(units, units[1:], strict=False))]
         best, covered = None, 0
         for n, line in enumerate(units):
             tf = m.terms(line)
             x = {t: c * w.idf.get(t, w.unknown) for t, c in tf.items()}
             norm = math.sqrt(sum(v * v for v in x.values()))
-            got = max(((round(sum(v * u.get(t, 0) for t, v in x.items()) / norm, 9), -k) for k, u in enumerate(w.unit)), default=(0, 0)) if norm else (0, 0)
+            told = [set(m.NEEDS.get(name, "").split()) <= set(tf) and not set(m.LACKS.get(name, "").split()) & set(tf) for name in w.names]
+            got = max(((round(sum(v * u.get(t, 0) for t, v in x.items()) / norm, 9) * told[k], -k) for k, u in enumerate(w.unit)), default=(0, 0)) if norm else (0, 0)
             if got[0] >= m.THRESHOLD:
                 covered += len(line.encode())
-                best = max(best or (0, 0, 0), (*got, -n))
+                name = w.names[-got[1]]
+                best = max(best or (False, 0, 0, 0), (not (name == m.GENERIC or named and name == m.RESERVED), *got, -n))
         if best:
-            headers[path, text] = (best[0], w.names[-best[1]], covered >= m.FILE_SHARE * len(text.encode()) or bool(path and re.search(m.FILE_NAMES, path)))
+            headers[path, text] = (best[1], w.names[-best[2]], covered >= m.FILE_SHARE * len(text.encode()) or named)
     at = {}
     for (path, _), (score, name, speaks) in headers.items():
         if speaks and path is not None:
@@ -111,7 +115,25 @@ OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
 SOFTWARE.
 """
 COMMON = "/usr/share/common-licenses"
-WHOLE = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+WHOLE = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.parametrize(
+    "line, licence",
+    [
+        ("GNU General Public License, version 2", "GPL-2.0"),
+        ("GNU General Public License, version 3", "GPL-3.0"),
+        ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY 4.0", "CC-BY-4.0"),
+        ("Not all rights are reserved", None),
+        ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+        ("SPDX-License-Identifier: MIT", "MIT"),
+        ("Released under the MIT License.", "MIT"),
+    ],
+)
+def test_near_wordings(spark, line, licence):
+    got = m.scan(spark.createDataFrame([("a.c", f"int x;\n{line}\nint y;")], "path string, text string")).first()
+    assert got.license == licence
 
 
 def test_whole_licence_texts_speak_for_their_directories(spark):
