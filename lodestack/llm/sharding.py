@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import materialise, packed, read_table
 
 LIMIT = 16 << 20
+#: Bytes of a shard in the registered query: small enough that the least of the tables is split, and its SQL shows it.
+QUERY_LIMIT = 256 << 10
 STEP = 8
 #: Bits of one hash word; after those of doc_id, as many of the text tell rows with equal ids apart.
 WORD_BITS = 56
@@ -98,9 +100,11 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Null and empty texts count no bytes; equal doc_ids with equal texts share a shard; a text above the
+    limit is a shard of its own; an empty table gives an empty result."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return assign(docs).select("doc_id", size.alias("n_bytes"), "shard", "shard_bytes", "shard_docs")
+    return assign(docs, QUERY_LIMIT).select("doc_id", size.alias("n_bytes"), "shard", "shard_bytes", "shard_docs")
 
 
 OP5_SQL = f"""
@@ -109,7 +113,7 @@ WITH d AS (
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, {WORD_BITS // 4}))::BIGINT AS h FROM documents),
 x AS (SELECT doc_id, n_bytes, h, depth, h >> ({WORD_BITS} - depth) AS p FROM d, (SELECT unnest(range(0, 33))::INTEGER AS depth)),
 b AS (SELECT depth, p, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM x GROUP BY depth, p),
-leaf AS (SELECT x.doc_id, x.h, min(x.depth) AS depth FROM x JOIN b USING (depth, p) WHERE b.shard_bytes <= {LIMIT} OR b.shard_docs = 1 GROUP BY x.doc_id, x.h)
+leaf AS (SELECT x.doc_id, x.h, min(x.depth) AS depth FROM x JOIN b USING (depth, p) WHERE b.shard_bytes <= {QUERY_LIMIT} OR b.shard_docs = 1 GROUP BY x.doc_id, x.h)
 SELECT d.doc_id, d.n_bytes, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(b.p), l.depth, '0') END AS shard, b.shard_bytes, b.shard_docs
 FROM d JOIN leaf l USING (doc_id, h) JOIN b ON b.depth = l.depth AND b.p = d.h >> ({WORD_BITS} - l.depth)
 """
