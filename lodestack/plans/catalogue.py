@@ -384,20 +384,10 @@ def _with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stripes(spark, sf_dir).join(lines.select(F.col("chunk_id").alias("c"), "payload"), F.col("chunk_id") == F.col("c")).select("stripe_id", "slot", "chunk_id", "payload", "raw_size")
 
 
-@query(f"""SELECT stripe_id, place, bit_xor(ord(substr(line, place::BIGINT + 1, 1))) AS value FROM (
-  SELECT s.n // {K} AS stripe_id, k.line, unnest(range(length(k.line))) AS place FROM st s JOIN k ON k.doc_id = s.doc_id AND k.pos = s.pos WHERE strlen(k.line) = length(k.line) AND s.n < 800) GROUP BY 1, 2""")
-def parity_xor_row0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row 0 of the generator is all ones: its parity is the xor of the members (of ASCII lines, where SQL can index bytes)."""
-    ascii_only = _with_payload(spark, sf_dir).where(f"stripe_id < {800 // K}").where(F.length(F.col("payload").cast("string")) == F.octet_length("payload"))
-    made = parity.encode(ascii_only, K, R, ["stripe_id"]).select("stripe_id", F.col("parity")[0].alias("p"))
-    byte = F.conv(F.hex(F.expr("substring(p, cast(place AS int) + 1, 1)")), 16, 10).cast("int")
-    return made.where(F.length("p") > 0).select("stripe_id", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.length("p") - F.lit(1).cast("long"))).alias("place")).select("stripe_id", "place", byte.alias("value"))
-
-
 @query(f"""SELECT stripe_id, place, bit_xor(('0x' || substr(h, 2 * place::BIGINT + 1, 2))::INTEGER) AS value FROM (
   SELECT s.n // {K} AS stripe_id, hex(encode(k.line)) AS h, unnest(range(strlen(k.line))) AS place FROM st s JOIN k ON k.doc_id = s.doc_id AND k.pos = s.pos) GROUP BY 1, 2""")
-def parity_xor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row 0 of every stripe with all its members, byte by byte. ``parity_xor_row0`` is the same of the ASCII lines of the first stripes only."""
+def parity_xor_row0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row 0 of every stripe with all its members, byte by byte."""
     made = parity.encode(_with_payload(spark, sf_dir), K, R, ["stripe_id"]).select("stripe_id", F.col("parity")[0].alias("p"))
     byte = F.conv(F.hex(F.expr("substring(p, cast(place AS int) + 1, 1)")), 16, 10).cast("int")
     return made.where(F.length("p") > 0).select("stripe_id", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.length("p") - F.lit(1).cast("long"))).alias("place")).select("stripe_id", "place", byte.alias("value"))
