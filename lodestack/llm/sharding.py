@@ -18,6 +18,8 @@ LIMIT = 16 << 20
 #: Bytes of a shard in the registered query: small enough that the least of the tables is split, and its SQL shows it.
 QUERY_LIMIT = 256 << 10
 STEP = 8
+#: Cells of a directory are broadcast up to this many (about 60 bytes each); beyond, texts are shuffled to them.
+BROADCAST_CELLS = 200_000
 #: Bits of one hash word; after those of doc_id, as many of the text tell rows with equal ids apart.
 WORD_BITS = 56
 
@@ -90,6 +92,8 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     steps = directory(keyed, limit)
     for n, (depth, cells) in enumerate(steps):
         renamed = cells.select(*[F.col(c).alias(f"__{c}") for c in cells.columns])
+        if cells.count() <= BROADCAST_CELLS:
+            renamed = F.broadcast(renamed)
         q1, q2 = _prefix(depth)
         joined = rest.join(renamed, (q1 == F.col("__p1")) & (q2 == F.col("__p2")))
         bits = F.when(F.col("__depth") > WORD_BITS, F.concat(F.lpad(F.bin("__s1"), WORD_BITS, "0"), F.lpad(F.bin("__s2"), F.col("__depth") - WORD_BITS, F.lit("0")))).otherwise(F.lpad(F.bin("__s1"), F.col("__depth"), F.lit("0")))
