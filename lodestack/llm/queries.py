@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestack.llm.chat import OP7_SQL, op7_chat
-from lodestack.llm.decontaminate import op2_decontaminate
+from lodestack.llm.decontaminate import OP2_SQL, op2_decontaminate
 from lodestack.llm.jpeg import op10_jpeg
 from lodestack.llm.licenses import op3_licenses
 from lodestack.llm.mixing import OP6_SQL, op6_mixing
@@ -27,6 +27,7 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
     "op5_sharding": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_chat": OP7_SQL,

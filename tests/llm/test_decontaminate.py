@@ -1,7 +1,10 @@
 import itertools
+import os
 import random
 
+import duckdb
 import numpy as np
+import pytest
 
 from lodestack.llm import decontaminate as d
 from lodestack.llm.common import WordHashes
@@ -18,8 +21,6 @@ def brute(docs, items):
             firsts[t] = min(i, firsts.get(t, i))
     for (doc_id, text, *_), (t, i) in itertools.product(docs, firsts.items()):
         doc, item = d.tokens_of((text or "").encode(), known), d.tokens_of(t.encode(), known)
-        if len(item) < d.MIN_TOKENS:
-            continue
         for shift in range(-len(item), len(doc)):
             if got := d.best_overlap(doc, item, shift):
                 key = (got[2], got[1], -got[0])
@@ -57,6 +58,39 @@ def test_planted_overlaps(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in docs if i not in {a for a, _ in want})
 
 
+def test_short_items_and_short_documents(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n)), 0, 0) for i, n in enumerate([1, 3, 7, 8, 10, 12, 13, 30, 60])]
+    docs = [(100 + i, t.upper(), "", 0, 0) for i, t, *_ in items]
+    docs += [(200 + i, f"before {t} after", "", 0, 0) for i, t, *_ in items]
+    n = 300
+    for i, text, *_ in items:
+        words = text.split()
+        for size in range(5, min(13, len(words) + 1)):
+            at = rng.randrange(len(words) - size + 1)
+            for changed in range(4):
+                cut = words[at : at + size]
+                for k in rng.sample(range(size), changed):
+                    cut[k] = "other"
+                docs.append((n, " ".join(cut), "", 0, 0))
+                n += 1
+    got = d.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    found = {(r.doc_id, r.item_id): (r.n_equal, r.n_words, -r.first_word) for r in got}
+    assert found == brute(docs, items) and len(found) == len(got)
+    assert {(100 + i, i) for i in range(9)} <= set(found)
+    assert not {(200, 0), (201, 1), (202, 2)} & set(found)
+    assert any(r.item_words > 13 and r.n_words < 13 for r in got)
+
+
+def test_items_without_an_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "xyz"]
+    docs = spark.createDataFrame([(n, f"so {t} on", "", 0, 0) for n, t in enumerate(texts)] + [(9, "clean words only", "", 0, 0)], DOCS)
+    items = spark.createDataFrame([(None, texts[0], 0, 0), (None, texts[1], 0, 0), (7, texts[2], 0, 0)], ITEMS)
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in d.leaks(docs, items).collect()} == {(0, None, 20), (1, None, 20), (2, 7, 20)}
+    assert [r.doc_id for r in d.without_leaks(docs, items).collect()] == [9]
+
+
 def test_null_ids_and_empty_tables(spark):
     text = " ".join(f"t{i}" for i in range(20))
     docs, items = spark.createDataFrame([(None, text, "", 0, 0)], DOCS), spark.createDataFrame([(3, text, 0, 0)], ITEMS)
@@ -75,3 +109,14 @@ def test_one_or_two_changed_tokens_of_thirteen_leave_a_seed():
         missed += not any(np.any(d.seed_hashes(base, s) == d.seed_hashes(other, s)) for s in d.seeds(set()))
     assert missed == 0
     assert all(sum(map(int, m)) == 6 for m in d.MASKS)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the generated tables")
+def test_query_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    found = d.op2_decontaminate(spark, sf)
+    names = ", ".join(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(f"SELECT {names} FROM ({d.OP2_SQL})").fetchall())
