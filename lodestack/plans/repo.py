@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack import schemas
-from lodestack.functions.scalar import MANIFEST_MAGIC, PARITY_MAGIC, next_pow2, seal, try_unseal, unseal
+from lodestack.functions.scalar import MANIFEST_MAGIC, PARITY_MAGIC, file_id, next_pow2, seal, try_unseal, unseal
 from lodestack.operators import chunking, dedupe, index, inventory, manifest, parity, restore, verify
 from lodestack.sources import sinks
 
-DEFAULTS = {"rs_k": 8, "rs_r": 2, "least": 256 << 10, "average": 1 << 20, "most": 4 << 20, "window": 64, "algorithm": "fast", "compress": False, "encrypt": False, "encrypt_manifest": True}
-_SETTINGS = "repo_id string, repo_name string, drive_id string, drive_ord int, label string, rs_k int, rs_r int, least int, average int, most int, window int, algorithm string, compress boolean, encrypt boolean, encrypt_manifest boolean"
+DEFAULTS = {"rs_k": 8, "rs_r": 2, "least": 256 << 10, "average": 1 << 20, "most": 4 << 20, "window": 64, "algorithm": "fast", "compress": False, "encrypt": False, "encrypt_manifest": True, "obfuscate_parity": False}
+_SETTINGS = "repo_id string, repo_name string, drive_id string, drive_ord int, label string, rs_k int, rs_r int, least int, average int, most int, window int, algorithm string, compress boolean, encrypt boolean, encrypt_manifest boolean, obfuscate_parity boolean"
 
 
 class Repo:
     """One drive of a repository. Opening one that does not exist is an error; ``create`` makes it.
 
     With ``encrypt`` chunks and parity are sealed, and so is every row of a manifest unless ``encrypt_manifest`` is off.
+    With ``obfuscate_parity`` and a key the names of per-file stripes are keyed, so that nobody can guess paths from them.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: bytes | None = None):
@@ -74,7 +75,14 @@ class Repo:
     @property
     def stripes(self) -> DataFrame:
         """Parity in clear; a shard that does not open is null, which is a lost one."""
-        rows = self._table("stripes", schemas.STRIPES)
+        return self._opened(self._table("stripes", schemas.STRIPES))
+
+    @property
+    def file_stripes(self) -> DataFrame:
+        """Stripes of neighbours in one file; stripe_id is the file's id, its version's and the stripe's number."""
+        return self._opened(self._table("file_stripes", schemas.FILE_STRIPES))
+
+    def _opened(self, rows: DataFrame) -> DataFrame:
         if self.settings.encrypt:
             rows = rows.withColumn("parity", F.transform("parity", lambda p: try_unseal(p, self.key, PARITY_MAGIC)))
         return rows
@@ -144,14 +152,38 @@ class Repo:
         full, waiting = parity.split_pending(assigned, self.settings.rs_k, finalize)
         data = full.join(self.payloads().select(F.col("chunk_id").alias("c"), "payload"), F.col("chunk_id") == F.col("c")).select("stripe_id", F.col("pos").alias("slot"), "chunk_id", "payload")
         stripes = parity.encode(data, self.settings.rs_k, self.settings.rs_r, ["stripe_id"])
+        self._sealed(stripes).write.mode("append").parquet(f"{self.root}/stripes")
+        return waiting
+
+    def _sealed(self, stripes: DataFrame) -> DataFrame:
         if self.settings.encrypt:
             stripes = stripes.withColumn("parity", F.transform("parity", lambda p: seal(p, self.key, PARITY_MAGIC)))
-        stripes.write.mode("append").parquet(f"{self.root}/stripes")
-        return waiting
+        return stripes
+
+    def add_file_parity(self, snapshot: str) -> None:
+        """Parity over each K neighbours of every file of a snapshot, where this drive has all of them.
+
+        A version of a file (the same path and chunks) is striped once, whatever snapshots hold it.
+        """
+        from lodestack.session import cut
+
+        name = file_id("path", self.key, self.settings.obfuscate_parity)
+        version = F.substring(F.sha2(F.array_join("chunks", ","), 256), 1, 16)
+        tree = self.manifests.where(F.col("snapshot") == snapshot).select(F.concat_ws(":", name, version).alias("file"), F.posexplode("chunks").alias("pos", "chunk_id"))
+        slots = parity.assign_in_file(tree, self.settings.rs_k)
+        slots = slots.select(F.concat_ws(":", "file", F.col("stripe").cast("string")).alias("stripe_id"), "slot", "chunk_id").distinct()
+        done = self._table("file_stripes", schemas.FILE_STRIPES).select(F.col("stripe_id").alias("d"))
+        slots = cut(slots.join(done, F.col("stripe_id") == F.col("d"), "left_anti"))
+        whole = parity.all_local(slots, self.catalog, ["stripe_id"]).where("complete").select(F.col("stripe_id").alias("w"))
+        data = slots.join(whole, F.col("stripe_id") == F.col("w"), "left_semi")
+        rows = self.payloads(ids=data.select("chunk_id").distinct()).select(F.col("chunk_id").alias("c"), "payload")
+        data = data.join(rows, F.col("chunk_id") == F.col("c")).drop("c")
+        stripes = parity.encode(data, self.settings.rs_k, self.settings.rs_r, ["stripe_id"])
+        self._sealed(stripes).write.mode("append").parquet(f"{self.root}/file_stripes")
 
-    def verify_parity(self) -> DataFrame:
+    def verify_parity(self, of_files: bool = False) -> DataFrame:
         """(stripe_id, row, ok): whether each stored shard opens and equals what its chunks encode to."""
-        stripes = self.stripes
+        stripes = self.file_stripes if of_files else self.stripes
         slots = stripes.select("stripe_id", F.posexplode("chunks").alias("slot", "chunk_id")).where("chunk_id IS NOT NULL")
         rows = self.payloads(strict=False, ids=slots).select(F.col("chunk_id").alias("c"), "payload")
         return parity.unreadable(stripes, slots.join(rows, F.col("chunk_id") == F.col("c")).drop("c").where("payload IS NOT NULL"))
@@ -177,7 +209,7 @@ def restore_files(repos: list[Repo], snapshot: str | None = None, only_file: str
 
     With missing chunks, pass more drives and call again: the result depends on the list alone. refused (path, bytes,
     reason): files that a cap cut short when they were backed up, and files whose size is not the recorded one; they are
-    never handed out. A drive that is passed twice counts once. Drives are chosen by ids, before any payload is read.
+    never handed out. What no drive has is repaired by stripes of its file or across files, whichever give it back. A drive that is passed twice counts once. Drives are chosen by ids, before any payload is read.
     """
     repos = list({r.settings.drive_id: r for r in reversed(repos)}.values())[::-1]
     trees = repos[0].manifests.withColumn("drive_rank", F.lit(0))
@@ -196,8 +228,9 @@ def restore_files(repos: list[Repo], snapshot: str | None = None, only_file: str
     for rank, repo in enumerate(repos):
         rows = repo.catalog.select("chunk_id", F.lit(rank).alias("drive_rank"))
         ids = rows if ids is None else ids.unionByName(rows)
-        group = repo.stripes.withColumn("stripe_id", F.concat_ws(":", F.lit(str(rank)), F.col("stripe_id").cast("string")))
-        stripes = group if stripes is None else stripes.unionByName(group)
+        for kind, group in (("file", repo.file_stripes), ("across", repo.stripes)):
+            group = group.withColumn("stripe_id", F.concat_ws(":", F.lit(kind), F.lit(str(rank)), F.col("stripe_id").cast("string")))
+            stripes = group if stripes is None else stripes.unionByName(group)
     lost = restore.unavailable(refs, ids).select("chunk_id").distinct()
     slots = stripes.select("stripe_id", F.explode("chunks").alias("chunk_id")).where("chunk_id IS NOT NULL")
     touched = slots.join(lost, "chunk_id", "left_semi").select("stripe_id").distinct()

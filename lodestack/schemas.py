@@ -9,6 +9,7 @@ MANIFEST = "path STRING, bytes LONG, chunks ARRAY<STRING>"
 LINE_MANIFEST = "snapshot STRING, path STRING, mode STRING, bytes LONG, chunks ARRAY<STRUCT<id: STRING, size: LONG>>"
 SIDECAR = "k INT, r INT, shardSize INT, chunks ARRAY<STRING>, sizes ARRAY<INT>"
 STRIPES = "stripe_id LONG, k INT, r INT, shard_size INT, chunks ARRAY<STRING>, sizes ARRAY<INT>, parity ARRAY<BINARY>"
+FILE_STRIPES = "stripe_id STRING, k INT, r INT, shard_size INT, chunks ARRAY<STRING>, sizes ARRAY<INT>, parity ARRAY<BINARY>"
 STRIPE_INDEX = "chunk_id STRING, stripe_id LONG, pos INT"
 INDEX = "chunk_id STRING, drive_ord INT"
 DRIVES = "drive_ord INT, drive_id STRING, label STRING"

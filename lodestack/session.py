@@ -18,6 +18,16 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{(folder or 'file://' + tempfile.mkdtemp(prefix='lodestack-')).rstrip('/')}/lodestack/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def newest(spark: SparkSession, folder: str) -> int | None:
+    """The largest number that names a folder in ``folder`` which was written whole; None if there is none."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.listStatus(path) if store.exists(path) else []
+    names = [f.getPath() for f in found if f.isDirectory() and f.getPath().getName().isdigit()]
+    return max((int(p.getName()) for p in names if store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder that the session names; where it names none, one is set on a single machine only."""
     spark: SparkSession = df.sparkSession

@@ -24,15 +24,58 @@ def _below(path: Column, root: str) -> Column:
     return slashes(F.regexp_replace(path, "^[a-z]+:/*" + (bare if not bare.startswith("/") else "/*" + bare.lstrip("/")).replace(".", r"\.") + "/?", ""))
 
 
-def files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+def files(spark: SparkSession, root: str, glob: str | None = None, hidden: bool = True) -> DataFrame:
     """Regular files below ``root``: path (relative), length, modificationTime, content; unread columns cost nothing.
 
-    Spark passes over names that begin with a dot or an underscore.
+    Spark passes over empty files, names that begin with a dot or an underscore, and all below such folders;
+    ``hidden_files`` adds them.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root).withColumn("path", _below(F.col("path"), root))
+    seen = reader.load(root).withColumn("path", _below(F.col("path"), root)).select("path", "length", "modificationTime", "content")
+    return seen.unionByName(hidden_files(spark, root, glob)) if hidden else seen
+
+
+def _passed_over(parts: list[str], size: int) -> bool:
+    """Whether Spark's own listing skips a file: empty, or hidden by its name or by that of a folder above it."""
+    hidden = [(p.startswith("_") and "=" not in p) or p.startswith(".") or p.endswith("._COPYING_") for p in parts]
+    above = [h and not p.startswith(("_common_metadata", "_metadata")) for h, p in zip(hidden[:-1], parts[:-1], strict=True)]
+    return not size or hidden[-1] or any(above)
+
+
+def hidden_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """The files below ``root`` that Spark's listing skips, with the columns of ``files``; symbolic links to files are left out.
+
+    One task lists what is below a folder at the top; contents are read one file at a time.
+    """
+    from pyarrow import fs
+
+    uri = root if "://" in root else root.replace("file:", "", 1) if root.startswith("file:") else root
+    store, top = fs.FileSystem.from_uri(uri)
+    tops = [(e.path, e.type == fs.FileType.Directory) for e in store.get_file_info(fs.FileSelector(top))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        from fnmatch import fnmatchcase
+
+        here, base = fs.FileSystem.from_uri(uri)
+        local = isinstance(here, fs.LocalFileSystem)
+        cut = len(base.rstrip("/")) + 1
+        for batch in batches:
+            for path, is_folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for e in here.get_file_info(fs.FileSelector(path, recursive=True)) if is_folder else [here.get_file_info(path)]:
+                    parts = e.path[cut:].split("/")
+                    wanted = e.type == fs.FileType.File and _passed_over(parts, e.size) and (glob is None or fnmatchcase(parts[-1], glob))
+                    if not wanted or (local and os.path.islink(e.path)):
+                        continue
+                    with here.open_input_stream(e.path) as f:
+                        content = f.read()
+                    columns = [pa.array(["/".join(parts)]), pa.array([len(content)], pa.int64()), pa.array([e.mtime], pa.timestamp("us", "UTC")), pa.array([content], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "length", "modificationTime", "content"])
+
+    listed = spark.createDataFrame(tops, "path string, folder boolean")
+    return listed.repartition(max(1, min(len(tops), 1000))).mapInArrow(run, schemas.FILES)
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:

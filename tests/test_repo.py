@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import index, manifest, restore, verify
 from lodestack.plans import repo as plans
+from lodestack.plans.location import LocationIndex
 from lodestack.plans.repo import Repo
 from lodestack.streaming import ingest
 
@@ -167,3 +168,47 @@ def test_stream_of_files(spark, tmp_path):
     assert [r.snapshot for r in repo.snapshots().collect()] == ["BATCH_000000000000", "BATCH_000000000001"]
     got = {r.path.rsplit("/", 1)[-1]: r.bytes for r in repo.manifests.collect()}
     assert got == {"one": 500, "two": 900}
+
+
+def test_file_parity_repairs_what_no_drive_has(spark, tmp_path):
+    files = sample(11)
+    repo = Repo.create(spark, str(tmp_path / "r"), "name", **SMALL, encrypt=True, obfuscate_parity=True, key=KEY)
+    repo.backup(frame(spark, files), "S1")
+    repo.add_file_parity("S1")
+    count = repo.file_stripes.count()
+    repo.backup(frame(spark, files), "S2")
+    repo.add_file_parity("S2")
+    assert repo.file_stripes.count() == count > len(files)
+    assert [r.ok for r in repo.verify_parity(of_files=True).select("ok").distinct().collect()] == [True]
+    lost = repo.file_stripes.select(F.element_at("chunks", 1).alias("l")).distinct()
+    kept = repo.chunks.join(lost, F.col("chunk_id") == F.col("l"), "left_anti")
+    kept.write.parquet(str(tmp_path / "kept"))
+    gone = repo.chunks.count() - kept.count()
+    spark.read.parquet(str(tmp_path / "kept")).write.mode("overwrite").parquet(f"{repo.root}/chunks")
+    spark.catalog.refreshByPath(repo.root)
+    got, missing, refused = plans.restore_files([repo], "S1")
+    assert gone > 0 and contents(got) == files and missing.collect() == refused.collect() == []
+    rows = spark.read.parquet(f"{repo.root}/file_stripes")
+    assert rows.where(F.substring("stripe_id", 1, 64) == F.sha2(F.lit("d1/f1.bin"), 256)).count() == 0
+
+
+def test_stored_index(spark, tmp_path):
+    root = str(tmp_path / "index")
+    ids = [f"{i:064x}" for i in range(9)]
+    rows = lambda some: spark.createDataFrame([(i,) for i in some], "chunk_id string")
+    stored = LocationIndex(spark, root)
+    assert stored.run.collect() == stored.delta.collect() == stored.drives.collect() == []
+    assert stored.register("a", "one") == 0
+    stored.add(rows(ids[:4]), 0)
+    stored.compact()
+    assert stored.register("b", "") == 1 and stored.register("a", "renamed") == 0
+    stored.add(rows(ids[2:7]), 1)
+    stored.add(rows(ids[5:8]), 0)
+    again = LocationIndex(spark, root)
+    want = dict(zip(ids, [0, 0, 0, 0, 1, 1, 1, 0, None], strict=True))
+    assert {r.chunk_id: r.drive_ord for r in again.locate(rows(ids)).collect()} == want
+    (tmp_path / "index" / "run" / "2").mkdir()
+    assert again.generation == 1
+    assert [r.chunk_id for r in again.compact().collect()] == ids[:8] and again.delta.collect() == []
+    assert {r.chunk_id: r.drive_ord for r in again.locate(rows(ids)).collect()} == want
+    assert sorted((r.drive_ord, r.label) for r in again.drives.collect()) == [(0, "renamed"), (1, "")]

@@ -97,4 +97,19 @@ def test_stored_trees(spark, tmp_path):
     files = readers.files(spark, str(tmp_path / "parity"))
     assert {(r.path, r.length) for r in files.select("path", "length").collect()} == {("stripe-00000012/p_0", 4), ("stripe-00000012/p_1", 3), ("stripe-00000012/sidecar.json", (stripe / "sidecar.json").stat().st_size)}
     scan = files.select("path", "length")._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in scan.split("ReadSchema")[-1]
+    assert "content" not in scan.split("ReadSchema")[-1].split("\n")[0]
+
+
+def test_files_with_hidden_names(spark, tmp_path):
+    names = ["a.txt", ".profile", "_x", "_k=1/y", ".d/e/f.txt", "p/.q", "p/r.txt", "p/_s/t", "z._COPYING_", "_metadata", "_metadata.d/u"]
+    for n, name in enumerate(names):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * n)
+    (tmp_path / ".link").symlink_to(tmp_path / "a.txt")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        got = readers.files(spark, root).collect()
+        assert sorted((r.path, r.length, bytes(r.content)) for r in got) == sorted((name, n, b"x" * n) for n, name in enumerate(names))
+    assert all(r.modificationTime is not None for r in got)
+    assert {r.path for r in readers.files(spark, str(tmp_path), glob="*.txt").collect()} == {"a.txt", "p/r.txt", ".d/e/f.txt"}
+    assert {r.path for r in readers.files(spark, str(tmp_path), hidden=False).collect()} == {"p/r.txt", "_k=1/y", "_metadata.d/u"}
