@@ -592,11 +592,13 @@ def parity_sealed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, sha256(text) AS sha256 FROM documents WHERE strlen(text) > 0")
 def file_parity_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first chunk of every per-file stripe is lost; parity within the file gives it back."""
+    """The first chunk of every per-file stripe is lost, where no other slot shares it (so no stripe loses more than R);
+    parity within the file gives it back."""
     repo, files = _repo(spark, sf_dir, encrypt=True, obfuscate_parity=True, key=KEY)
     repo.backup(files, "S1")
     repo.add_file_parity("S1")
-    lost = repo.file_stripes.select(F.element_at("chunks", 1).alias("chunk_id")).distinct()
+    slots = repo.file_stripes.select(F.posexplode("chunks").alias("slot", "chunk_id")).where("chunk_id IS NOT NULL")
+    lost = slots.groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("slot").alias("slot")).where("n = 1 AND slot = 0").select("chunk_id")
     kept = repo.payloads().select("chunk_id", "payload").join(lost.select(F.col("chunk_id").alias("l")), F.col("chunk_id") == F.col("l"), "left_anti")
     refs = manifest.references(repo.manifests.select("path", "chunks"))
     found = parity.repair(repo.file_stripes, kept, lost).dropDuplicates(["chunk_id"])
