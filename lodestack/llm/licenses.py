@@ -1,6 +1,6 @@
 """Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-DataFrame functions only. Every line of a file can be a header. A line that has none of a template's trigger terms cannot
+DataFrame functions only. Every line of a file can be a header, and so can every sentence of a line. A line that has none of a template's trigger terms cannot
 reach the threshold (the other terms hold too little of the template's norm, by Cauchy-Schwarz), so only lines with a
 trigger are taken apart into terms, and of these only lines that can reach the threshold are shuffled; nothing that could
 match is left out.
@@ -48,17 +48,21 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 #: What tells licences of near wording apart: terms that a line must have, and terms that it must not have.
-NEEDS = {"GPL-2.0": "2", "GPL-3.0": "3", "AGPL-3.0": "affero", "LGPL-2.1": "lesser 2", "LGPL-3.0": "lesser 3", "MPL-2.0": "mozilla", "CC-BY-NC-ND-4.0": "cc nc nd", "CC-BY-NC-SA-4.0": "cc nc sa", "CC-BY-NC-4.0": "cc nc", "CC-BY-ND-4.0": "cc nd", "CC-BY-SA-4.0": "cc sa", "CC-BY-4.0": "cc"}
+NEEDS = {"GPL-2.0": "2", "GPL-3.0": "3", "AGPL-3.0": "affero", "LGPL-2.1": "lesser 2", "LGPL-3.0": "lesser 3", "MPL-2.0": "mozilla", "CC-BY-NC-ND-4.0": "cc nc nd", "CC-BY-NC-SA-4.0": "cc nc sa", "CC-BY-NC-4.0": "cc nc", "CC-BY-ND-4.0": "cc nd", "CC-BY-SA-4.0": "cc sa", "CC-BY-4.0": "cc", "Proprietary": "rights reserved"}
 LACKS = {"GPL-1.0-or-later": "lesser library affero", "GPL-2.0": "lesser library affero 3", "GPL-3.0": "lesser library affero 2", "CC-BY-NC-4.0": "nd sa", "CC-BY-ND-4.0": "nc", "CC-BY-SA-4.0": "nc", "CC-BY-4.0": "nc nd sa", "Proprietary": "not no some"}
+#: Distinct terms that a line must share with a template: a single word, which may be one of another language, is no notice.
+SHARED = 2
 #: A tag that names its licence outright.
 TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
-#: Names without a version, and reserved rights in a licence file, count only if nothing else matches.
+#: Names without a version, and reserved rights, count only if nothing else matches.
 RESERVED, GENERIC = "Proprietary", "GPL-1.0-or-later"
 THRESHOLD = 0.6
 #: A file whose licence lines make up this share of its bytes, or that has such a name, speaks for its directory.
 FILE_SHARE = 0.5
 FILE_NAMES = r"(?i)/(un)?licen[cs]e[^/]*$|/copying[^/]*$|/notice[^/]*$"
 TERM = "[a-z0-9]+"
+#: What ends a sentence within a line.
+STOP = "[.;!?][ \t]+"
 #: Words that are common in any text, the commonest first.
 COMMON = tuple("the of and or are to in is it for as with by at this an be all any not can you may on a that from under which 0 1 2 3 4 v work file free code met deal".split())
 
@@ -129,27 +133,29 @@ def tagged_lines(files: DataFrame) -> DataFrame:
 
 
 def scored_lines(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, tid, bytes, line_no, line_bytes, score, template): lines that reach the threshold with their best template."""
+    """(path, tid, bytes, line_no, line_bytes, score, template): lines, or sentences of them, that reach the threshold with their
+    best template; line_bytes is the size of what does."""
     spark = files.sparkSession
     telling = sorted({t for text in (*NEEDS.values(), *LACKS.values()) for t in text.split()})
     has_trigger = rf"(?i)(?<![a-z0-9])({'|'.join(weights.triggers)})(?![a-z0-9])"
     whole = F.col("path").rlike(FILE_NAMES)
     # a licence file is one unit, whatever its lines, and each line and each two lines are others: a full text is far longer
-    # than a template, and its title may have the version on the next line
+    # than a template, and its title may have the version on the next line; a sentence is one, as other words dilute a line
     cut = F.split("text", "\n")
     twos = F.zip_with(F.slice(cut, 1, F.size(cut) - 1), F.slice(cut, 2, F.size(cut)), lambda a, b: F.concat(a, F.lit(" "), b))
     units = F.when(whole, F.concat(F.array("text"), cut, twos)).otherwise(cut)
     lines = files.where(F.col("text").rlike(has_trigger)).select("path", "tid", F.octet_length("text").alias("bytes"), F.posexplode(units).alias("line_no", "line")).where(F.col("line").rlike(has_trigger))
-    lines = lines.where(_enough(weights, threshold))
-    key = ["path", "tid", "bytes", "line_no", "line_bytes"]
-    tf = lines.select("path", "tid", "bytes", "line_no", F.octet_length("line").alias("line_bytes"), F.explode(_terms("line")).alias("term")).groupBy(*key, "term").count()
+    sentences = F.filter(F.split("line", STOP), lambda x: (x != F.col("line")) & x.rlike(has_trigger))
+    lines = lines.select("path", "tid", "bytes", "line_no", F.posexplode(F.concat(F.array("line"), sentences)).alias("part", "line")).where(_enough(weights, threshold))
+    key = ["path", "tid", "bytes", "line_no", "part", "line_bytes"]
+    tf = lines.select("path", "tid", "bytes", "line_no", "part", F.octet_length("line").alias("line_bytes"), F.explode(_terms("line")).alias("term")).groupBy(*key, "term").count()
     rows = [(t, weights.idf[t], *[u.get(t, 0.0) for u in weights.unit]) for t in sorted(weights.idf)]
     vocabulary = spark.createDataFrame(rows, "t string, idf double, " + ", ".join(f"w{k} double" for k in range(len(weights.unit))))
     weighed = tf.join(F.broadcast(vocabulary), F.col("term") == F.col("t"), "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(weights.unknown)))
-    sums = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *[F.sum(F.col("x") * F.coalesce(f"w{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(weights.unit))], *[F.bool_or(F.col("term") == t).alias(f"h_{t}") for t in telling])
-    best = F.greatest(*[F.struct(F.when(_told(name), F.round(F.col(f"d{k}") / F.col("norm"), 9)).otherwise(0.0).alias("score"), F.lit(-k).alias("k")) for k, name in enumerate(weights.names)])
+    sums = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *[F.sum(F.col("x") * F.coalesce(f"w{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(weights.unit))], *[F.count_if(F.col(f"w{k}") > 0).alias(f"c{k}") for k in range(len(weights.unit))], *[F.bool_or(F.col("term") == t).alias(f"h_{t}") for t in telling])
+    best = F.greatest(*[F.struct(F.when(_told(name) & (F.col(f"c{k}") >= SHARED), F.round(F.col(f"d{k}") / F.col("norm"), 9)).otherwise(0.0).alias("score"), F.lit(-k).alias("k")) for k, name in enumerate(weights.names)])
     out = sums.select(*key, best.alias("b")).where(F.col("b.score") >= threshold)
-    return out.select(*key, F.col("b.score").alias("score"), (-F.col("b.k")).alias("template"))
+    return out.select(*key[:4], "line_bytes", F.col("b.score").alias("score"), (-F.col("b.k")).alias("template"))
 
 
 def _dir(path: Column) -> Column:
@@ -166,10 +172,10 @@ def _ancestors(directory: Column) -> Column:
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``files`` (path, text): path, license, score, origin, license_path, tid.
 
-    origin: ``header`` (the best line of the file itself; equal scores: a tag, the first template, then the first line),
-    ``directory`` (the licence file in the nearest directory at or above the file's), or ``none``. A licence file has its
-    own header, so it is of origin ``header``; as many licences reserve rights in a line of their own, ``RESERVED`` is
-    its licence only if nothing else matches, and so is ``GENERIC`` that of any file. Where a directory has several licence files, the best score counts, then
+    origin: ``header`` (the best line or sentence of the file itself; equal scores: a tag, the first template, then the first
+    line), ``directory`` (the licence file in the nearest directory at or above the file's), or ``none``. A licence file has
+    its own header, so it is of origin ``header``. As many notices reserve rights next to a licence, ``RESERVED`` is the
+    licence of a file only if nothing else matches, and so is ``GENERIC``. Where a directory has several licence files, the best score counts, then
     the least path. Null paths have headers but no directory; null and empty texts have no header but inherit. tid tells
     rows with one path and different texts apart. An empty table gives an empty result.
     """
@@ -177,9 +183,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = files.select("path", "text", F.xxhash64("text").alias("tid"))
     named = F.element_at(F.array(*map(F.lit, weights.names)), F.col("template") + 1)
     lines = materialise(scored_lines(own, weights, threshold).withColumn("license", named).unionByName(tagged_lines(own)), "license_lines")
-    last = F.col("path").rlike(FILE_NAMES) & (F.col("license") == RESERVED) | (F.col("license") == GENERIC)
-    top = F.max(F.struct(F.coalesce(~last, F.lit(True)).alias("named"), "score", -F.col("template"), -F.col("line_no"), "license")).alias("x")
-    headers = lines.groupBy("path", "tid", "bytes").agg(top, F.sum("line_bytes").alias("covered"))
+    top = F.max(F.struct((~F.col("license").isin(RESERVED, GENERIC)).alias("named"), "score", -F.col("template"), -F.col("line_no"), "license")).alias("x")
+    # a line and its sentences are counted once
+    each = lines.groupBy("path", "tid", "bytes", "line_no").agg(top, F.max("line_bytes").alias("most"))
+    headers = each.groupBy("path", "tid", "bytes").agg(F.max("x").alias("x"), F.sum("most").alias("covered"))
     headers = materialise(headers.select("path", "tid", "bytes", "covered", "x.license", "x.score"), "headers")
     speaks = F.col("path").rlike(FILE_NAMES) | (F.col("covered") >= FILE_SHARE * F.col("bytes"))
     best = F.min(F.struct(-F.col("score"), F.col("path"), F.col("license"))).alias("x")
@@ -210,3 +217,79 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(document_path().alias("path"), "text")
     found = scan(docs).drop("tid")
     return found.withColumn("doc_id", F.regexp_extract("path", r"/(-?\d+)\.txt$", 1).try_cast("long"))
+
+
+def _literals(rows: list[tuple]) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(repr(float(v)) if isinstance(v, float) else str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
+
+
+def _sql(weights: Weights, threshold: float = THRESHOLD) -> str:
+    """The query in plain joins: every term of every line and sentence, without triggers or bounds.
+
+    Files of ``document_path`` end in digits and .txt, so none has a licence file's name.
+    """
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    needs, lacks = ([set(table.get(n, "").split()) for n in weights.names] for table in (NEEDS, LACKS))
+    parts = [(k, t, float(u.get(t, 0.0)), int(t in needs[k]), int(t in lacks[k])) for k, u in enumerate(weights.unit) for t in sorted({*u, *needs[k], *lacks[k]})]
+    digits = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
+    return f"""
+WITH template(k, license, needs) AS ({_literals([(k, n, len(needs[k])) for k, n in enumerate(weights.names)])}),
+part(k, term, w, need, lack) AS ({_literals(parts)}),
+idf(term, idf) AS ({_literals(sorted(weights.idf.items()))}),
+files AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, coalesce(text, '') AS text, coalesce(source, 'null') || '/'
+    || regexp_replace(substring({digits}, 1, length({digits}) - 1), '(.)', '\\1/', 'g') || {digits} || '.txt' AS path
+  FROM documents),
+lines AS (
+  SELECT rid, unnest(range(len(cut))) AS line_no, unnest(cut) AS line
+  FROM (SELECT rid, string_split(text, chr(10)) AS cut FROM files)),
+units AS (
+  SELECT rid, line_no, 0 AS part, line FROM lines
+  UNION ALL
+  SELECT rid, line_no, unnest(range(1, len(cut) + 1)), unnest(cut)
+  FROM (SELECT rid, line_no, regexp_split_to_array(line, '{STOP}') AS cut FROM lines) WHERE len(cut) > 1),
+tf AS MATERIALIZED (
+  SELECT rid, line_no, part, term, count(*) AS n
+  FROM (SELECT rid, line_no, part, unnest(regexp_extract_all(translate(line, '{upper}', '{upper.lower()}'), '{TERM}')) AS term FROM units)
+  GROUP BY ALL),
+norms AS (
+  SELECT rid, line_no, part, sqrt(sum(pow(n * coalesce(idf, {weights.unknown!r}), 2))) AS norm
+  FROM tf LEFT JOIN idf USING (term) GROUP BY ALL),
+dots AS (
+  SELECT rid, line_no, part, k, sum(n * coalesce(idf, {weights.unknown!r}) * w) AS dot, sum(need) AS has, sum(lack) AS against, count_if(w > 0) AS shared
+  FROM tf JOIN part p USING (term) LEFT JOIN idf USING (term) GROUP BY rid, line_no, tf.part, k),
+scored AS (
+  SELECT rid, line_no, part, k, license, round(dot / norm, 9) AS score
+  FROM dots JOIN norms USING (rid, line_no, part) JOIN template USING (k)
+  WHERE has = needs AND against = 0 AND shared >= {SHARED} AND round(dot / norm, 9) >= {threshold}),
+best AS (
+  SELECT rid, line_no, part, k, license, score FROM scored
+  QUALIFY row_number() OVER (PARTITION BY rid, line_no, part ORDER BY score DESC, k) = 1),
+found AS MATERIALIZED (
+  SELECT rid, line_no, strlen(line) AS bytes, k, license, score FROM best JOIN units USING (rid, line_no, part)
+  UNION ALL
+  SELECT rid, line_no, strlen(line), -1, regexp_extract(line, '{TAG}', 1), 1.0 FROM lines WHERE regexp_extract(line, '{TAG}', 1) <> ''),
+covered AS (
+  SELECT rid, sum(most) AS covered FROM (SELECT rid, line_no, max(bytes) AS most FROM found GROUP BY ALL) GROUP BY rid),
+headers AS MATERIALIZED (
+  SELECT rid, path, license, score, covered >= {FILE_SHARE} * strlen(text) AS speaks
+  FROM found JOIN covered USING (rid) JOIN files USING (rid)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY license IN ('{RESERVED}', '{GENERIC}'), score DESC, k, line_no, license DESC) = 1),
+folders AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS folder, license, score, path FROM headers WHERE speaks
+  QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, path, license) = 1),
+above AS (
+  SELECT rid, unnest([array_to_string(up[1:n], '/') FOR n IN range(1, len(up))]) AS folder
+  FROM (SELECT rid, string_split(path, '/') AS up FROM files)),
+nearest AS (
+  SELECT rid, license, score, path FROM above JOIN folders USING (folder)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(folder) DESC) = 1)
+SELECT f.path, coalesce(h.license, n.license) AS license, coalesce(h.score, n.score) AS score,
+  CASE WHEN h.rid IS NOT NULL THEN 'header' WHEN n.rid IS NOT NULL THEN 'directory' ELSE 'none' END AS origin,
+  CASE WHEN h.rid IS NOT NULL THEN f.path ELSE n.path END AS license_path,
+  TRY_CAST(nullif(regexp_extract(f.path, '/(-?[0-9]+)[.]txt$', 1), '') AS BIGINT) AS doc_id
+FROM files f LEFT JOIN headers h USING (rid) LEFT JOIN nearest n USING (rid)
+"""
+
+
+OP3_SQL = _sql(Weights())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from lodestack.llm.chat import OP7_SQL, op7_chat
 from lodestack.llm.decontaminate import OP2_SQL, op2_decontaminate
 from lodestack.llm.jpeg import op10_jpeg
-from lodestack.llm.licenses import op3_licenses
+from lodestack.llm.licenses import OP3_SQL, op3_licenses
 from lodestack.llm.mixing import OP6_SQL, op6_mixing
 from lodestack.llm.quality import op8_quality
 from lodestack.llm.sharding import OP5_SQL, op5_sharding
@@ -28,6 +28,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
+    "op3_licenses": OP3_SQL,
     "op5_sharding": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_chat": OP7_SQL,

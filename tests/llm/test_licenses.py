@@ -3,6 +3,7 @@ import os
 import random
 import re
 
+import duckdb
 import pytest
 
 from lodestack.llm import licenses as m
@@ -18,19 +19,21 @@ def brute(rows):
         units, named = text.split("\n"), bool(path and re.search(m.FILE_NAMES, path))
         if named:
             units = [text, *units, *(f"{a} {b}" for a, b in zip(units, units[1:], strict=False))]
-        best, covered = None, 0
-        for n, line in enumerate(units):
+        best, covered = None, {}
+        parts = [(n, part) for n, line in enumerate(units) for part in [line, *(x for x in re.split(m.STOP, line) if x != line)]]
+        for n, line in parts:
             tf = m.terms(line)
             x = {t: c * w.idf.get(t, w.unknown) for t, c in tf.items()}
             norm = math.sqrt(sum(v * v for v in x.values()))
             told = [set(m.NEEDS.get(name, "").split()) <= set(tf) and not set(m.LACKS.get(name, "").split()) & set(tf) for name in w.names]
+            told = [t and len(set(tf) & set(u)) >= m.SHARED for t, u in zip(told, w.unit, strict=True)]
             got = max(((round(sum(v * u.get(t, 0) for t, v in x.items()) / norm, 9) * told[k], -k) for k, u in enumerate(w.unit)), default=(0, 0)) if norm else (0, 0)
             if got[0] >= m.THRESHOLD:
-                covered += len(line.encode())
+                covered[n] = max(covered.get(n, 0), len(line.encode()))
                 name = w.names[-got[1]]
-                best = max(best or (False, 0, 0, 0), (not (name == m.GENERIC or named and name == m.RESERVED), *got, -n))
+                best = max(best or (False, 0, 0, 0), (name not in (m.GENERIC, m.RESERVED), *got, -n))
         if best:
-            headers[path, text] = (best[1], w.names[-best[2]], covered >= m.FILE_SHARE * len(text.encode()) or named)
+            headers[path, text] = (best[1], w.names[-best[2]], sum(covered.values()) >= m.FILE_SHARE * len(text.encode()) or named)
     at = {}
     for (path, _), (score, name, speaks) in headers.items():
         if speaks and path is not None:
@@ -129,6 +132,14 @@ WHOLE = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"
         ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
         ("SPDX-License-Identifier: MIT", "MIT"),
         ("Released under the MIT License.", "MIT"),
+        ("Copyright (c) 2024 Foo Inc. All rights reserved.", "Proprietary"),
+        ("Copyright 2024 Foo. All rights reserved. Released under the MIT License.", "MIT"),
+        ("These notes on rivers and stones were collected over ten years of walking; Licensed under CC BY-NC 4.0. Write to us with corrections of any kind.", "CC-BY-NC-4.0"),
+        ("all rights", None),
+        ("Sie kam. Mit. Dann ging sie.", None),
+        ("License: MIT", "MIT"),
+        ("CC BY 4.0", "CC-BY-4.0"),
+        ("They know their rights. Then they left.", None),
     ],
 )
 def test_near_wordings(spark, line, licence):
@@ -146,3 +157,27 @@ def test_whole_licence_texts_speak_for_their_directories(spark):
     got = {r.path: (r.license, r.origin) for r in m.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     want = {f"{at}/{file}": (licence, origin) for at, (_, licence) in texts.items() for file, origin in (("LICENSE", "header"), ("src/a.c", "directory"))}
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the generated tables")
+@pytest.mark.parametrize("extra", [False, True])
+def test_query_equals_its_sql(spark, tmp_path, extra):
+    """On the generated table, and on one with notices inside lines, tags, licences in single files, null and equal rows."""
+    sf = "/root/testdata/sf0.01"
+    if extra:
+        rng = random.Random(4)
+        notices = [t for _, t in m.TEMPLATES] + ["SPDX-License-Identifier: ISC and more", "# SPDX-License-Identifier: MIT"]
+        rows = [(7, None, "a"), (8, "", "b"), (None, "All rights reserved.", None), (12, "GNU General Public License, version 3", "a")]
+        for i in range(400):
+            lines = [" ".join(rng.choices("River stone of the walking license version 2 3 rights".split(), k=9)) + "." for _ in range(rng.randrange(3))]
+            if i % 5 == 0:
+                lines.insert(0, rng.choice(["", "One line. ", "One line "]) + rng.choice(notices) + rng.choice(["", " More words follow; and more"]))
+            rows.append((i, "\n".join(lines), rng.choice(["a", "b", "c/d", None])))
+        spark.createDataFrame(rows + rows[-3:], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+        sf = str(tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet{'/*.parquet' if extra else ''}'")
+    found = m.op3_licenses(spark, sf)
+    got = sorted(map(tuple, found.collect()), key=str)
+    assert got == sorted(con.execute(f"SELECT {', '.join(found.columns)} FROM ({m.OP3_SQL})").fetchall(), key=str)
+    assert {r[3] for r in got} >= {"header", "none"} | ({"directory"} if extra else set())
