@@ -153,18 +153,79 @@ def test_general_progressive_scans(width, height, restart):
         assert (got.coefficients == want).all()
     rgb = picture.rgb()
     assert rgb.shape == (height, width, 3) and rgb.dtype == np.uint8
+    y, cb, cr = (p if k == 0 else np.kron(p, np.ones((2, 2))) for k, p in enumerate(slow_planes(blocks, np.arange(1, 65))))
+    assert np.abs(slow_rgb(y, cb, cr, height, width) - rgb).max() <= 1
+
+
+def slow_planes(blocks, quant):
+    """Block by block, in double precision."""
     planes = []
-    for k, b in enumerate(blocks):
+    for b in blocks:
         plane = np.zeros((b.shape[0] * 8, b.shape[1] * 8))
         for y in range(b.shape[0]):
             for x in range(b.shape[1]):
                 square = np.zeros(64)
-                square[jpeg.ZIGZAG] = b[y, x] * np.arange(1, 65)
+                square[jpeg.ZIGZAG] = b[y, x] * quant
                 plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = jpeg.BASIS.T.astype(float) @ square.reshape(8, 8) @ jpeg.BASIS.astype(float) + 128
-        planes.append(plane if k == 0 else np.kron(plane, np.ones((2, 2))))
-    y, cb, cr = (p[:height, :width] for p in planes)
-    want = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], 2)
-    assert np.abs(np.clip(want, 0, 255) - rgb).max() <= 1
+        planes.append(plane)
+    return planes
+
+
+def slow_rgb(y, cb, cr, height, width):
+    y, cb, cr = (p[:height, :width] for p in (y, cb, cr))
+    return np.clip(np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], 2), 0, 255)
+
+
+def flat_blocks(rng, width, height, parts, between=b""):
+    """A picture whose blocks are of one value each; parts: (name, h, v). And the planes of each component."""
+    segment, h, v = jpeg._segment, max(p[1] for p in parts), max(p[2] for p in parts)
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    values = [np.array([[rng.randrange(-100, 100) for _ in range(across * a)] for _ in range(down * b)]) for _, a, b in parts]
+    bits, last = Bits(), [0] * len(parts)
+    for my in range(down):
+        for mx in range(across):
+            for k, (_, a, b) in enumerate(parts):
+                for y in range(my * b, my * b + b):
+                    for x in range(mx * a, mx * a + a):
+                        put_value(bits, int(values[k][y, x]) - last[k])
+                        last[k] = int(values[k][y, x])
+    frame = struct.pack(">BHHB", 8, height, width, len(parts)) + b"".join(bytes([n, a << 4 | b, 0]) for n, a, b in parts)
+    scan = segment(0xDA, bytes([len(parts), *(x for n, _, _ in parts for x in (n, 0)), 0, 0, 0]))
+    content = b"".join([b"\xff\xd8", between, segment(0xDB, bytes([0] + [8] * 64)), segment(0xC2, frame), segment(0xC4, b"\0" + FLAT), scan, bits.bytes(), b"\xff\xd9"])
+    return content, [np.kron(p, np.ones((8, 8))) + 128 for p in values]
+
+
+@pytest.mark.parametrize("factors", [((3, 3), (2, 2), (2, 1)), ((2, 1), (1, 1), (1, 1)), ((4, 2), (1, 2), (3, 1)), ((1, 1), (2, 2), (1, 2))])
+def test_samplings_of_any_ratio(factors):
+    height, width = 37, 51
+    content, planes = flat_blocks(random.Random(8), width, height, [(k + 1, *f) for k, f in enumerate(factors)])
+    h, v = (max(f[k] for f in factors) for k in (0, 1))
+    full = [[[p[y * b // v, x * a // h] for x in range(width)] for y in range(height)] for p, (a, b) in zip(planes, factors, strict=True)]
+    assert np.abs(slow_rgb(*map(np.array, full), height, width) - jpeg.Picture(content).rgb()).max() <= 1
+
+
+@pytest.mark.parametrize("names, between", [((1, 2, 3), b"Adobe\0\x64\0\0\0\0\0"), (tuple(b"RGB"), b"")])
+def test_colours_that_are_no_luma_and_chroma(names, between):
+    content, planes = flat_blocks(random.Random(9), 24, 16, [(n, 1, 1) for n in names], jpeg._segment(0xEE, between) if between else b"")
+    assert (jpeg.Picture(content).rgb() == np.clip(np.stack(planes, 2), 0, 255)).all()
+
+
+def test_one_component_is_grey():
+    content, planes = flat_blocks(random.Random(10), 20, 9, [(1, 1, 1)])
+    assert (jpeg.Picture(content).rgb() == np.clip(planes[0][:9, :20, None], 0, 255)).all()
+
+
+@pytest.mark.parametrize("text", ["", "a river of stones " * 40, "é日本" * 300])
+def test_feature_of_a_carrier(text):
+    picture = jpeg.Picture(jpeg.encode(jpeg.padded(text.encode())))
+    parts = list(picture.components.values())
+    planes = slow_planes([c.coefficients for c in parts], picture.quants[parts[0].quant])
+    assert {(c.h, c.v, c.quant) for c in parts} == {(1, 1, parts[0].quant)}
+    want = slow_rgb(*planes, picture.height, picture.width)
+    assert np.abs(want - picture.rgb()).max() <= 1
+    size, means, crc = jpeg.feature_of(picture.rgb()).split(":")
+    assert size == f"{picture.width}x{picture.height}" and crc == f"{zlib.crc32(picture.rgb().tobytes()):08x}"
+    assert np.abs(np.array(means.split(","), float) / 1000 - want.reshape(-1, 3).mean(0)).max() < 1
 
 
 @pytest.mark.parametrize("cells", [1, 2, 9, 4096, 4099])
@@ -183,7 +244,10 @@ def test_carrier_round_trip_and_both_readers(cells, monkeypatch):
 
 def test_damaged_files_are_refused():
     content = jpeg.encode(b"x" * 384)
-    for bad in (content[:-2], content[:100], b"", content[2:], content.replace(b"\xff\xc2", b"\xff\xc9")):
+    frame = content.index(b"\xff\xc2")
+    no_factors = content[: frame + 11] + b"\0" + content[frame + 12 :]
+    no_frame = content[:frame] + b"\xff\xfe" + content[frame + 2 :]
+    for bad in (content[:-2], content[:100], b"", content[2:], content.replace(b"\xff\xc2", b"\xff\xc9"), no_factors, no_frame):
         with pytest.raises(jpeg.BadImage):
             jpeg.Picture(bad)
 

@@ -1,6 +1,11 @@
+import math
+import os
 import random
 import zlib
 
+import pytest
+import zstandard
+
 from lodestack.llm import quality
 
 DOCS = "doc_id long, text string, score string, y int"
@@ -50,3 +55,33 @@ def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in quality.classify(df, quality.fit(df, none)).collect()] == [0.5]
     assert quality.classify(df.limit(0), quality.fit(df.limit(0), none)).collect() == []
+
+
+def plain_score(model, text):
+    """The difference of the sizes under either dictionary, block by block, each time with a fresh compressor."""
+    raw, sizes = (text or "").encode(), []
+    for dictionary in (model.bad, model.good):
+        data = zstandard.ZstdCompressionDict(dictionary)
+        packer = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append(sum(len(packer.compress(raw[i : i + quality.BLOCK])) for i in range(0, len(raw), quality.BLOCK)))
+    return 1 / (1 + math.exp(-(model.slope * ((sizes[0] - sizes[1]) / len(raw) if raw else 0.0) + model.offset)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the generated tables")
+def test_scores_are_those_of_plain_compression_and_calibrated(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.op8_quality(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert set(got) == set(texts)
+    assert all(abs(got[k].score - plain_score(model, t)) < 0.02 for k, t in texts.items())
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    tested = [(r.score, truth[k]) for k, r in got.items() if r.held_out and k in truth]
+    brier = sum((p - y) ** 2 for p, y in tested) / len(tested)
+    share = sum(y for _, y in tested) / len(tested)
+    for low in (0.0, 0.5):
+        part = [(p, y) for p, y in tested if low <= p < low + 0.5 or low and p == 1]
+        assert abs(sum(p - y for p, y in part)) / len(part) < 0.1
+    # against a score that is the share of good labels for every text; 94 texts give 0.060, README has more
+    assert brier < share * (1 - share) / 2
