@@ -1,8 +1,8 @@
 """Content-defined chunking: one file to many ordered chunks.
 
-Where a cut may fall depends on the last few bytes only, so hashes of all positions are computed at once with numpy, and
-a short pass over the candidates keeps to the least and largest size. One file is one unit of work; payloads are cut where
-they lie and are never shuffled.
+Where a cut may fall depends on the last few bytes only, so hashes of all positions of a block are computed at once with
+numpy, and a short pass over the candidates keeps to the least and largest size. One file is one unit of work, of which a
+block's hashes and payloads are held at a time; payloads are cut where they lie and are never shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from lodestack.functions.scalar import sha256_hex
 GEAR_SEED, GEAR_SHIFTS = 0x9E3779B97F4A7C15, (13, 7, 17)
 BASE, MODULUS = 257, (1 << 61) - 1
 ALGORITHMS = ("fast", "gear-high", "rabin")
+#: Bytes of a file that are hashed at once, and of payloads that are handed on at once; a block holds two chunks at least.
+BLOCK = 8 << 20
 CHUNKED = "path string, pos int, offset long, raw_size int, chunk_id string, payload binary"
 
 
@@ -118,10 +120,10 @@ def _early(data: np.ndarray, start: int, sizes: range, table: np.ndarray, mask:
     return None
 
 
-def cuts(data: np.ndarray, p: Params) -> list[int]:
-    """Ends of the chunks of a file, ascending; the last is its length. An empty file has none."""
+def cuts(data: np.ndarray, p: Params, start: int = 0) -> list[int]:
+    """Ends of the chunks from ``start`` on, where one begins, ascending; the last is the length. Empty data has none."""
     n = len(data)
-    if not n:
+    if start >= n:
         return []
     if p.algorithm == "rabin":
         zones = [(p.least, p.most, p.average - 1, (np.flatnonzero((rabin_hashes(data, p.window) & np.uint64(p.average - 1)) == 0) + p.window).tolist())]
@@ -136,7 +138,7 @@ def cuts(data: np.ndarray, p: Params) -> list[int]:
         else:
             spans = [(p.least, p.most, ~(next(1 << k for k in range(32) if 1 << k >= p.average) - 1) & 0xFFFFFFFF)]
         zones = [(a, b, m, (np.flatnonzero((h & np.uint32(m)) == 0) + 1).tolist()) for a, b, m in spans]
-    out, start = [], 0
+    out = []
     while start < n:
         end = None
         for low, high, mask, ends in zones:
@@ -152,24 +154,45 @@ def cuts(data: np.ndarray, p: Params) -> list[int]:
     return out
 
 
+def cuts_by_block(data: np.ndarray, p: Params, block: int = BLOCK) -> Iterator[int]:
+    """The same ends, with hashes of one block at a time; a chunk that may go on beyond its block begins the next one."""
+    start, block = 0, max(block, 2 * p.most)
+    while start < len(data):
+        # the rolling window looks back beyond the start of a chunk
+        base, stop = max(0, start - p.window), min(len(data), start + block)
+        for end in cuts(data[base:stop], p, start - base):
+            if stop < len(data) and start + p.most > stop:
+                break
+            start = base + end
+            yield start
+
+
 def chunk_files(files: DataFrame, params: Params, payloads: bool = True) -> DataFrame:
     """(path, pos, offset, raw_size, chunk_id, payload) of files (path, content). Null content is an empty file."""
     p = params.checked()
 
+    types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.binary())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "pos", "offset", "raw_size", "chunk_id", "payload"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, path in enumerate(batch.column(0).to_pylist()):
                 content = batch.column(1)[i].as_buffer()
                 if content is None:
                     continue
-                view, start, rows = memoryview(content), 0, []
-                for pos, end in enumerate(cuts(np.frombuffer(content, np.uint8), p)):
+                view, start, rows, held = memoryview(content), 0, [], 0
+                for pos, end in enumerate(cuts_by_block(np.frombuffer(content, np.uint8), p)):
                     part = bytes(view[start:end])
                     rows.append((path, pos, start, end - start, hashlib.sha256(part).hexdigest(), part if payloads else None))
+                    held += end - start
                     start = end
+                    if held >= BLOCK:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "pos", "offset", "raw_size", "chunk_id", "payload"])
+                    yield batch_of(rows)
 
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, CHUNKED)
 

@@ -54,6 +54,24 @@ def test_cuts_match_a_byte_at_a_time(p):
         assert chunking.cuts(np.frombuffer(data, np.uint8), p.checked()) == slow_cuts(data, p)
 
 
+@pytest.mark.parametrize("p", [Params("fast", 40, 128, 512), Params("fast", 3, 16, 70), Params("gear-high", 20, 33, 90), Params("rabin", 30, 64, 300, 48), Params("rabin", 5, 16, 60, 90)])
+def test_blocks_do_not_move_cuts(p):
+    rng = random.Random(12)
+    for data in (b"", rng.randbytes(31), rng.randbytes(9000), b"\0" * 3000, rng.randbytes(700) * 5):
+        whole = np.frombuffer(data, np.uint8)
+        for block in (1, 1000, 1999, 1 << 20):
+            assert list(chunking.cuts_by_block(whole, p, block)) == chunking.cuts(whole, p)
+
+
+def test_long_files_come_in_several_batches(spark, monkeypatch):
+    data = random.Random(5).randbytes(300_000)
+    monkeypatch.setattr(chunking, "BLOCK", 50_000)
+    df = spark.createDataFrame([("a", bytearray(data))], "path string, content binary")
+    found = sorted(chunking.chunk_files(df, Params("fast", 256, 1024, 4096)).collect(), key=lambda r: r.pos)
+    assert b"".join(bytes(r.payload) for r in found) == data
+    assert [r.pos for r in found] == list(range(len(found))) and [r.offset for r in found] == [sum(r.raw_size for r in found[:k]) for k in range(len(found))]
+
+
 def test_gear_tables_differ_and_modular_product_is_exact():
     assert chunking.gear(False).tolist() == slow_gear_table(False) != slow_gear_table(True) == chunking.gear(True).tolist()
     p, rng = (1 << 61) - 1, random.Random(1)
