@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WordHashes, forget, grams, in_groups, materialise, mix, texts_of
+from lodestack.llm.common import WordHashes, forget, freeing_shuffles, grams, in_groups, materialise, mix, texts_of
 from lodestack.llm.graph import labelled, relabelled
 from lodestack.llm.simhash import anchor_links, majority
 
@@ -32,9 +32,9 @@ CANDIDATE_BITS = 22
 #: Bits of 128 that shingle prints of a proposed pair may differ in. At a similarity of 0.8 the cosine of the sets is 0.889
 #: or more, so 19.4 bits are expected at most, with a deviation of 4.1: 44 is six deviations off. Unrelated: 64.
 PRINT_BITS = 44
-#: Common shingles come last in the order of the prefix filter. They are counted in about so many documents; which ones
-#: are known changes the number of candidates, never what is found.
-SAMPLE_DOCS, COMMON_TIMES, COMMON_MOST = 8_000, 3, 100_000
+#: Shingles in common cells come last in the order of the prefix filter. So many cells, by hash, are counted over all
+#: documents (0: the order is that of the hashes alone); the order changes the number of candidates, never what is found.
+COMMON_MOST = 1 << 18
 #: Pairs held before they are handed on, and bytes of text whose shingles are.
 PAIRS, CHUNK = 1 << 18, 1 << 20
 #: Members of a group, and shingles of them, that are compared at once.
@@ -59,34 +59,37 @@ def _print(hashes: np.ndarray) -> tuple[int, int]:
     return majority(mix(hashes)), majority(mix(hashes ^ _OTHER))
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the commonest shingles of a sample of documents, sorted by hash."""
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """For each of ``COMMON_MOST`` cells, how many shingles have a hash with that remainder, in the sets of all documents."""
+    cells = COMMON_MOST
+    total = np.zeros(cells, np.int64)
+    if not cells:
+        return total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, counts = WordHashes(), np.zeros(cells, np.int64)
         for batch in batches:
             for texts in in_groups(((t or b"",) for t in texts_of(batch.column(0))), lambda r: len(r[0]), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles_of(t, known, shingle)[2] for (t,) in texts]).view(np.int64))], ["s"])
+                found = np.concatenate([shingles_of(t, known, shingle)[2] for (t,) in texts])
+                counts += np.bincount((found % np.uint64(cells)).view(np.int64), minlength=cells)
+        cell = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], ["cell", "n"])
 
-    cells = 1 << 20
-    taken = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(cells)) <= cells * min(1, SAMPLE_DOCS / max(1, docs.count())))
-    counted = taken.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_TIMES)
-    rows = sorted((r.s & (1 << 64) - 1, r.n) for r in counted.orderBy(F.desc("n"), "s").limit(COMMON_MOST).collect())
-    return np.array([s for s, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
+    with freeing_shuffles(docs.sparkSession):
+        counted = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    total[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    return total
 
 
 def described(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, t1, t2, lo, hi, s1, s2, n, keys), from one pass over the texts.
+    """(doc_id, t1, t2, lo, hi, s1, s2, n, keys), from one pass over the texts after one that counts shingles.
 
     t: 128-bit hash of the lower-cased words in order; lo, hi: SimHash of their set; s: SimHash of the shingle set; n: how
-    many shingles it has; keys: the first of them, rare ones before common ones. A similar set of m shingles has
-    similarity / (1 + similarity) * (n + m) in common with it at least, so the first one they share, in the order of all
-    shingles, is among these keys on both sides.
+    many shingles it has; keys: the first of them, those of rare cells before those of common ones. A similar set of m
+    shingles has similarity / (1 + similarity) * (n + m) in common with it at least, so the first one they share, in the
+    order of all shingles, is among these keys on both sides.
     """
-    common, times = common_shingles(docs, shingle)
-    # one more entry, the complement of the last, so that places beyond the end compare unequal
-    listed = np.append(common, ~common[-1:] if len(common) else np.uint64(0))
-    weight = np.append(times, 0)
+    weight = common_shingles(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -96,8 +99,8 @@ def described(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 words, hashes, found = shingles_of(text, known, shingle)
                 whole = xxhash.xxh128_intdigest(b" ".join(words))
                 rows.append((whole >> 64, whole & (1 << 64) - 1, *_print(np.unique(hashes)), *_print(found), len(found)))
-                at = np.searchsorted(common, found)
-                found = found[np.argsort(np.where(listed[at] == found, weight[at], 0), kind="stable")]
+                if len(weight):
+                    found = found[np.argsort(weight[(found % np.uint64(len(weight))).view(np.int64)], kind="stable")]
                 keys.append(found[: len(found) - int(np.ceil(similarity * len(found) - 1e-6)) + 1].view(np.int64))
             columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)

@@ -133,3 +133,18 @@ def test_stages_end_to_end(spark, tmp_path):
     assert set(out[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "shard", "shard_bytes", "shard_docs"}
     assert all(r.shard_docs == len(out) and r.shard == "" for r in out)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_shingles_are_counted_in_all_documents(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(9))) if i % 50 else None, "", "", 0) for i in range(12_000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    known, cells = neardup.WordHashes(), np.uint64(neardup.COMMON_MOST)
+    sets = {d: neardup.shingles_of((t or "").encode(), known)[2] for d, t, *_ in rows}
+    want = np.bincount((np.concatenate([*sets.values()]) % cells).astype(int), minlength=neardup.COMMON_MOST)
+    assert np.array_equal(neardup.common_shingles(df, 5), want) and want.max() > 1
+    for r in neardup.described(df, 5, 0.8).select("doc_id", "keys").collect():
+        times = want[[(k & (1 << 64) - 1) % int(cells) for k in r["keys"]]] if r["keys"] else np.empty(0, int)
+        left = np.sort(want[(sets[r.doc_id] % cells).astype(int)])
+        assert times.tolist() == left[: len(times)].tolist()
+    assert not neardup.common_shingles(df.limit(0), 5).any()
