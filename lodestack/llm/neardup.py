@@ -34,7 +34,7 @@ CANDIDATE_BITS = 22
 PRINT_BITS = 44
 #: Shingles in common cells come last in the order of the prefix filter. So many cells, by hash, are counted over all
 #: documents (0: the order is that of the hashes alone); the order changes the number of candidates, never what is found.
-COMMON_MOST = 1 << 18
+COMMON_MOST = 1 << 16
 #: Pairs held before they are handed on, and bytes of text whose shingles are.
 PAIRS, CHUNK = 1 << 18, 1 << 20
 #: Members of a group, and shingles of them, that are compared at once.
